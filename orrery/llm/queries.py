@@ -6,6 +6,7 @@ from .bpe import op5_bpe
 from .decontaminate import OP2_SQL, op2_decontamination
 from .langid import op6_language
 from .simhash import op1_simhash
+from .toxicity import op4_toxicity
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontamination": op2_decontamination, "op5_bpe": op5_bpe, "op6_language": op6_language}
+QUERIES = {"op1_simhash": op1_simhash, "op2_decontamination": op2_decontamination, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_language": op6_language}
 ORACLE_SQL = {"op2_decontamination": OP2_SQL}
