@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .chat import op9_chat
 from .decontaminate import OP2_SQL, op2_decontamination
 from .langid import op6_language
+from .licenses import op8_licenses
+from .secrets import op7_secrets
 from .simhash import op1_simhash
 from .toxicity import op4_toxicity
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontamination": op2_decontamination, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_language": op6_language}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op4_toxicity, op5_bpe, op6_language, op7_secrets, op8_licenses, op9_chat)}
 ORACLE_SQL = {"op2_decontamination": OP2_SQL}
