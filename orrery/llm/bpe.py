@@ -290,6 +290,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def digests(coded: DataFrame) -> DataFrame:
+    """doc_id, and of encode()'s ids and decoded: n_tokens, ids_sha256, decoded_sha256."""
+    return coded.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], default_path())
-    return found.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], default_path()))

@@ -20,12 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df, written to the shared checkpoint folder. The session's folder is used; only where none is set (tests), a temporary one is."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only where none is set (tests), a temporary one becomes it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
-    return df.checkpoint(eager)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def chunks(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:

@@ -150,8 +150,8 @@ def shard_links(shards: DataFrame, radius: int, small: int = 48) -> DataFrame:
 
 def links(distinct: DataFrame, radius: int = 4, blocks: int = 6, shard_limit: int = 8192) -> DataFrame:
     """Links (a, b) that connect all fingerprints (column fp, distinct) within radius bits of each other."""
-    at = F.explode(F.array(*[F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for j, m in enumerate(masks(radius, blocks))]))
-    keyed = distinct.select("fp", at.alias("shard"))
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks(radius, blocks)])).alias("choice", "mask"))
+    keyed = keyed.select("fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"))
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / shard_limit).cast("int")
     own = F.pmod(F.hash("fp"), F.col("parts"))
