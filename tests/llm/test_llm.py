@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on the small table and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from orrery.llm import bpe, chat, decontaminate, langid, licenses, media, secrets, simhash, toxicity
+from orrery.llm import bpe, chat, decontaminate, langid, licenses, media, quality, secrets, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -362,3 +363,64 @@ def test_media_reads_runs_and_refinements():
     values, starts = media.coefficients([frame])
     assert values[0, :6].tolist() == [11, -1, 0, 0, 7, 0] and not values[0, 6:].any()
     assert media.tensors([frame], values, starts)[0].shape == (8, 8, 3)
+
+
+def kneser_ney(trusted, texts):
+    """Perplexities by the definition, over strings."""
+    pad = "\x02" * 4
+    counts = {5: Counter(), **{k: Counter() for k in range(1, 5)}}
+    for t in trusted:
+        s = pad + t.lower()
+        counts[5].update(s[i - 4 : i + 1] for i in range(4, len(s)))
+    for k in range(4, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in (0, 1, 2, 3, 4)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        own = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]] if n[1] and n[2] and n[3] else [0.5, 1, 1.5]
+        d[k] = [0, *(min(max(x, 0.1), i - 0.05) for i, x in enumerate(own, 1))]
+    after = {k: {} for k in counts}
+    for k, c in counts.items():
+        for g, v in c.items():
+            after[k].setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 4096
+        own = after[k].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        total, v = sum(own), counts[k].get(g, 0)
+        gamma = sum(d[k][min(x, 3)] for x in own) / total
+        return (v - d[k][min(v, 3)]) / total + gamma * p(g[1:])
+
+    out = []
+    for t in texts:
+        s = pad + (t or "").lower()
+        logs = [math.log(p(s[i - 4 : i + 1])) for i in range(4, len(s))]
+        out.append((len(logs), math.exp(-sum(logs) / len(logs)) if logs else None))
+    return out
+
+
+@pytest.mark.parametrize("path", ["broadcast", "packs"])
+def test_quality(spark, path, monkeypatch):
+    monkeypatch.setattr(quality, "PIECE", 50)
+    trusted = ["the cat sat on the mat " * 4, "the dog sat on the log", "a cat and a dog", "ça va bien, merci"]
+    texts = ["the cat on the log", "zzzqqq %%%", "", None, "The Cat", "a", "ça " * 60, "the cat on the log"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "perplexity long, text string")
+    options = {"most_grams": 0, "pack_bytes": 60} if path == "packs" else {}
+    got = quality.perplexity(docs.withColumnRenamed("perplexity", "id"), spark.createDataFrame([(t,) for t in trusted], "text string"), ["id"], **options)
+    rows = {r.id: (r.n_units, r.perplexity) for r in got.collect()}
+    for i, want in enumerate(kneser_ney(trusted, texts)):
+        assert rows[i] == (want[0], pytest.approx(want[1]) if want[1] is not None else None)
+
+
+def test_quality_classes(spark):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(18)] + [(6, 0, 0), (None, 1, 0)], "doc_id long, quality long, toxic long")
+    rows = {r.doc_id: r for r in quality.classify(awkward(spark), labels).where("doc_id is not null").collect()}
+    assert not rows[0].keep and not rows[1].keep and rows[0].perplexity is None and rows[0].n_units == 0
+    assert all(r.keep == (r.perplexity is not None and r.perplexity <= r.threshold) for r in rows.values())
+    assert quality.classify(awkward(spark), labels.limit(0)).where("keep").count() == sum(bool(r.text) for r in awkward(spark).collect())
+    assert quality.classify(awkward(spark).limit(0), labels).count() == 0
