@@ -51,36 +51,38 @@ def smoothed(samples: DataFrame, fs: float, median_s: float) -> DataFrame:
     return df.withColumn("xm", S.roll_median("xs", win, max(int(median_s * fs), 1)))
 
 
+def whole() -> S.WindowSpec:
+    """All of a series: aggregates over it need no join back and no exchange of their own."""
+    return S.Window.partitionBy(*KEYS)
+
+
 def pulses(samples: DataFrame, fs: float) -> DataFrame:
     """Samples with xs and their channel's pulse: base, level, rise, clear."""
-    df = smoothed(samples, fs, 0.2)
-    top = df.groupBy(*KEYS).agg(F.percentile("xm", F.lit(0.05)).alias("base"), F.max_by(F.struct("xm", "seq"), F.struct("xm", -F.col("seq"))).alias("top"))
-    df = df.join(top.select(*KEYS, "base", F.col("top.xm").alias("peak"), F.col("top.seq").alias("k")), KEYS)
-    above = F.col("xm") > F.col("base") + 0.5 * (F.col("peak") - F.col("base"))
-    edge = df.where(~F.coalesce(above, F.lit(False))).groupBy(*KEYS).agg(F.max(F.when(F.col("seq") < F.col("k"), F.col("seq"))).alias("lo"), F.min(F.when(F.col("seq") > F.col("k"), F.col("seq"))).alias("hi"))
-    df = df.join(edge, KEYS, "left")
+    w, df = whole(), smoothed(samples, fs, 0.2)
+    df = df.withColumn("base", F.percentile("xm", F.lit(0.05)).over(w)).withColumn("top", F.max_by(F.struct("xm", "seq"), F.struct("xm", -F.col("seq"))).over(w))
+    half = F.col("base") + 0.5 * (F.col("top.xm") - F.col("base"))
+    off = ~F.coalesce(F.col("xm") > half, F.lit(False))
+    df = df.withColumn("lo", F.max(F.when(off & (F.col("seq") < F.col("top.seq")), F.col("seq"))).over(w)).withColumn("hi", F.min(F.when(off & (F.col("seq") > F.col("top.seq")), F.col("seq"))).over(w))
     inside = (F.col("lo").isNull() | (F.col("seq") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("seq") < F.col("hi")))
-    plateau = df.where(inside & (F.col("xs") > F.col("base") + 0.75 * (F.col("peak") - F.col("base")))).groupBy(*KEYS).agg(F.percentile("xs", F.lit(0.5)).alias("plateau"))
-    df = df.join(plateau, KEYS, "left").withColumn("level", F.coalesce("plateau", "peak")).withColumn("rise", F.col("level") - F.col("base"))
+    plateau = F.when(inside & (F.col("xs") > F.col("base") + 0.75 * (F.col("top.xm") - F.col("base"))), F.col("xs"))
+    df = df.withColumn("level", F.coalesce(F.percentile(plateau, F.lit(0.5)).over(w), F.col("top.xm"))).withColumn("rise", F.col("level") - F.col("base"))
     clear = (F.col("rise") > 0) & (F.col("rise") >= 0.25 * F.greatest(F.abs("level"), F.abs("base")))
-    return df.withColumn("clear", clear).drop("lo", "hi", "plateau", "k", "peak")
+    return df.withColumn("clear", clear).drop("lo", "hi", "top")
 
 
 def segment_phases(samples: DataFrame, fs: float) -> DataFrame:
     """For each channel: fired, levels, and the times where the phases begin and end."""
-    win = S.ordered(*KEYS)
+    w, n_set = whole(), max(int(0.2 * fs), 2)
     p = pulses(samples, fs)
     on, st = F.col("base") + 0.1 * F.col("rise"), F.col("base") + 0.9 * F.col("rise")
-    n_set = max(int(0.2 * fs), 2)
-    p = p.withColumn("low", F.col("xs") < on)
-    ahead = win.rowsBetween(0, n_set - 1)
-    p = p.withColumn("still", (F.count("xs").over(ahead) == n_set) & (F.max("xs").over(ahead) - F.min("xs").over(ahead) < 0.02 * F.col("rise")))
-    at = p.groupBy(*KEYS).agg(F.min(F.when(F.col("xs") > st, F.col("seq"))).alias("i0"), F.max(F.when(F.col("xs") > st, F.col("seq"))).alias("i1"))
-    p = p.join(at, KEYS)
+    ahead = S.ordered(*KEYS).rowsBetween(0, n_set - 1)
+    p = p.withColumn("low", F.col("xs") < on).withColumn("still", (F.count("xs").over(ahead) == n_set) & (F.max("xs").over(ahead) - F.min("xs").over(ahead) < 0.02 * F.col("rise")))
+    steady = F.when(F.col("xs") > st, F.col("seq"))
+    p = p.withColumn("i0", F.min(steady).over(w)).withColumn("i1", F.max(steady).over(w))
     row = lambda cond, pick, more=0: pick(F.when(cond, F.col("seq") + more))
     found = p.groupBy(*KEYS).agg(
         F.first("base").alias("baseline"), F.first("level").alias("steady_level"), F.first("clear").alias("clear"), F.first("i0").alias("i0"), F.first("i1").alias("i1"),
-        F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.coalesce(row(F.col("low") & (F.col("seq") < F.col("i0")), F.max, 1), F.min("seq")).alias("ign"),
+        F.max("seq").alias("s1"), F.coalesce(row(F.col("low") & (F.col("seq") < F.col("i0")), F.max, 1), F.min("seq")).alias("ign"),
         row(F.col("low") & (F.col("seq") >= F.col("i1")), F.min).alias("below"), row(F.col("still") & (F.col("seq") >= F.col("i1")), F.min).alias("settled"),
         F.max_by("xs", "seq").alias("x_end"), F.first("rise").alias("rise"),
     )
@@ -105,36 +107,31 @@ def phase_table(segments: DataFrame) -> DataFrame:
 
 def pulse_metrics(samples: DataFrame, fs: float, start_pct: float = 10, end_pct: float = 10, subtract_baseline: bool = True) -> DataFrame:
     """Baseline, peak, window of the pulse, and its integral by trapezoids."""
-    win = S.ordered(*KEYS)
-    df = smoothed(samples, fs, 0.1)
-    ref = df.groupBy(*KEYS).agg(F.max_by(F.struct("seq", "xm", "t"), F.struct("xm", -F.col("seq"))).alias("r"))
-    df = df.join(ref.select(*KEYS, F.col("r.seq").alias("i_ref"), F.col("r.xm").alias("xm_ref")), KEYS)
-    pre = df.groupBy(*KEYS).agg(F.coalesce(F.max(F.when((F.col("seq") < F.col("i_ref")) & (F.col("xm") < 0.5 * F.col("xm_ref")), F.col("seq"))), F.min("seq")).alias("i_pre"))
-    df = df.join(pre, KEYS)
-    t_pre = df.where(F.col("seq") == F.col("i_pre")).select(*KEYS, F.col("t").alias("t_pre"))
-    df = df.join(t_pre, KEYS)
-    quiet = df.where((F.col("t") >= F.col("t_pre") - 1.5) & (F.col("t") < F.col("t_pre") - 0.5)).groupBy(*KEYS).agg(F.percentile("f", F.lit(0.5)).alias("b"))
-    df = df.join(quiet, KEYS, "left").withColumn("baseline", F.coalesce("b", F.lit(0.0)) if subtract_baseline else F.lit(0.0))
-    df = df.withColumn("y", F.col("f") - F.col("baseline")).withColumn("ys", F.col("xs") - F.col("baseline")).withColumn("sustained", F.col("xm_ref") - F.col("baseline"))
+    w, df = whole(), smoothed(samples, fs, 0.1)
+    seq, col = F.col("seq"), F.col
+    df = df.withColumn("r", F.max_by(F.struct("seq", "xm"), F.struct("xm", -seq)).over(w)).withColumn("i_ref", col("r.seq"))
+    df = df.withColumn("i_pre", F.coalesce(F.max(F.when((seq < col("i_ref")) & (col("xm") < 0.5 * col("r.xm")), seq)).over(w), F.min("seq").over(w)))
+    df = df.withColumn("t_pre", F.max(F.when(seq == col("i_pre"), col("t"))).over(w))
+    quiet = F.when((col("t") >= col("t_pre") - 1.5) & (col("t") < col("t_pre") - 0.5), col("f"))
+    df = df.withColumn("baseline", F.coalesce(F.percentile(quiet, F.lit(0.5)).over(w), F.lit(0.0)) if subtract_baseline else F.lit(0.0))
+    df = df.withColumn("y", col("f") - col("baseline")).withColumn("ys", col("xs") - col("baseline")).withColumn("sustained", col("r.xm") - col("baseline"))
 
     def window(df: DataFrame, level: str, centre: str, names: tuple[str, str]) -> DataFrame:
-        low = lambda pct: F.col("ys") < pct / 100 * F.col(level)
-        found = df.groupBy(*KEYS).agg(
-            F.coalesce(F.max(F.when(low(start_pct) & (F.col("seq") <= F.col(centre)), F.col("seq") + 1)), F.min("seq")).alias(names[0]),
-            F.coalesce(F.min(F.when(low(end_pct) & (F.col("seq") >= F.col(centre)), F.col("seq") - 1)), F.max("seq")).alias(names[1]),
-        )
-        return df.join(found, KEYS)
+        low = lambda pct: col("ys") < pct / 100 * col(level)
+        df = df.withColumn(names[0], F.coalesce(F.max(F.when(low(start_pct) & (seq <= col(centre)), seq + 1)).over(w), F.min("seq").over(w)))
+        return df.withColumn(names[1], F.coalesce(F.min(F.when(low(end_pct) & (seq >= col(centre)), seq - 1)).over(w), F.max("seq").over(w)))
 
     df = window(df, "sustained", "i_ref", ("a0", "a1"))
-    top = df.where(F.col("seq").between(F.col("a0"), F.col("a1"))).groupBy(*KEYS).agg(F.max_by(F.struct("seq", "ys"), F.struct("xs", -F.col("seq"))).alias("p"))
-    df = df.join(top.select(*KEYS, F.col("p.seq").alias("i_pk"), F.col("p.ys").alias("ys_pk")), KEYS).withColumn("spiky", F.col("ys_pk") > 1.5 * F.col("sustained"))
-    df = window(df, "ys_pk", "i_pk", ("b0", "b1"))
-    a, b = F.when(F.col("spiky"), F.col("a0")).otherwise(F.col("b0")), F.when(F.col("spiky"), F.col("a1")).otherwise(F.col("b1"))
-    inside = df.where(F.col("seq").between(a, b)).withColumn("area", (F.col("y") + F.lag("y").over(win)) / 2 * (F.col("t") - F.lag("t").over(win)))
-    return inside.groupBy(*KEYS).agg(
-        F.first("baseline").alias("baseline"), F.max(F.when(F.col("seq") == F.col("i_pk"), F.col("y"))).alias("peak"), F.max(F.when(F.col("seq") == F.col("i_pk"), F.col("t"))).alias("t_peak"),
+    inside = seq.between(col("a0"), col("a1"))
+    df = df.withColumn("p", F.max_by(F.when(inside, F.struct("seq", "ys")), F.when(inside, F.struct(col("xs"), -seq))).over(w)).withColumn("i_pk", col("p.seq")).withColumn("ys_pk", col("p.ys"))
+    df = window(df.where(col("i_pk").isNotNull()).withColumn("spiky", col("ys_pk") > 1.5 * col("sustained")), "ys_pk", "i_pk", ("b0", "b1"))
+    a, b = F.when(col("spiky"), col("a0")).otherwise(col("b0")), F.when(col("spiky"), col("a1")).otherwise(col("b1"))
+    ordered = S.ordered(*KEYS)
+    kept = df.where(seq.between(a, b)).withColumn("area", (col("y") + F.lag("y").over(ordered)) / 2 * (col("t") - F.lag("t").over(ordered)))
+    return kept.groupBy(*KEYS).agg(
+        F.first("baseline").alias("baseline"), F.max(F.when(seq == col("i_pk"), col("y"))).alias("peak"), F.max(F.when(seq == col("i_pk"), col("t"))).alias("t_peak"),
         F.first("sustained").alias("peak_sustained"), F.first("spiky").alias("peak_is_short_spike"), F.min("t").alias("t_start"), F.max("t").alias("t_end"),
-        (F.max("t") - F.min("t")).alias("action_time_s"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("integral"), F.count_if(F.col("v").isNull()).alias("nan_samples_interpolated"),
+        (F.max("t") - F.min("t")).alias("action_time_s"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("integral"), F.count_if(col("v").isNull()).alias("nan_samples_interpolated"),
     ).withColumn("mean_over_action_time", F.try_divide("integral", "action_time_s"))
 
 
@@ -142,8 +139,8 @@ def deviations(samples: DataFrame, reference: DataFrame, fs: float) -> DataFrame
     """Samples with the interpolated reference r, dev, dev_pct (of the reference's mean size) and roll (its 0.2 s mean)."""
     win = S.ordered(*KEYS)
     df = S.interpolated(samples, reference, KEYS).withColumn("dev", F.col("v") - F.col("r"))
-    scale = df.where(F.col("dev").isNotNull()).groupBy(*KEYS).agg(F.avg(F.abs("r")).alias("s"))
-    df = df.join(scale.select(*KEYS, F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("scale")), KEYS)
+    scale = F.avg(F.when(F.col("dev").isNotNull(), F.abs("r"))).over(whole())
+    df = df.withColumn("scale", F.when(scale == 0, 1.0).otherwise(scale))
     df = df.withColumn("dev_pct", 100 * F.col("dev") / F.col("scale"))
     w = max(int(0.2 * fs), 1)
     return df.withColumn("roll", S.roll_mean("dev_pct", win, w, max(w // 2, 1)))
@@ -258,8 +255,8 @@ def spikes(samples: DataFrame, fs: float, native: float | None = None, sigmas: f
     fk = fs / k
     df = samples.withColumn("f", S.fill_linear("v", win)).where(F.col("seq") % k == 0).withColumn("seq", F.floor(F.col("seq") / k).cast("long"))
     df = df.withColumn("med", S.median_filter("f", win, 11)).withColumn("res", F.abs(F.col("f") - F.col("med")))
-    whole = df.groupBy(*KEYS).agg((1.4826 * F.percentile(F.when(F.col("res") > 0, F.col("res")), F.lit(0.5))).alias("whole"))
-    df = df.withColumn("local", 1.4826 * S.roll_median("res", win, max(int(0.05 * fk), 11))).join(whole, KEYS)
+    df = df.withColumn("whole", 1.4826 * F.percentile(F.when(F.col("res") > 0, F.col("res")), F.lit(0.5)).over(whole()))
+    df = df.withColumn("local", 1.4826 * S.roll_median("res", win, max(int(0.05 * fk), 11)))
     df = df.withColumn("sigma", F.greatest("local", F.coalesce("whole", F.lit(0.0)), F.lit(1e-12)))
     near_gap = S.dilated(F.col("v").isNull(), win, int(0.01 * fk))
     df = df.withColumn("hot", (F.col("res") > sigmas * F.col("sigma")) & ~near_gap).withColumn("b", F.lag("f").over(win)).withColumn("a", F.lead("f").over(win))

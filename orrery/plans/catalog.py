@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basic
+from . import analysis, basic  # noqa: F401  both register their queries in basic
 
 QUERIES = {**basic.QUERIES}
 SQL = {**basic.SQL}
