@@ -17,10 +17,10 @@ from itertools import chain, islice
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import checkpoint, map_texts, table
 
 #: How byte-level BPE splits text, as the vocabulary's publishers give it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -259,9 +259,14 @@ class Codec:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", n: int = 16_384) -> list[str]:
-    """The n most frequent words of all texts (letters with the space before them), ties by the word."""
+    """The most frequent words of all texts (letters with the space before them), at most n: those of the highest counts, all words of a count or none."""
     words = docs.select(F.explode(F.regexp_extract_all(F.col(f"`{text}`").cast("string"), F.lit(r"\x20?\p{L}+"), F.lit(0))).alias("w"))
-    return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(n).collect()]
+    counts = checkpoint(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    above = counts.groupBy("n").agg(F.count("*").alias("words"))
+    higher = F.sum("words").over(Window.orderBy(F.desc("n")))
+    # The few distinct counts come to one task; the words, at most n, only then to the driver.
+    least = above.withColumn("higher", higher).where(F.col("higher") <= n).agg(F.min("n")).first()[0]
+    return sorted(r.w for r in counts.where(F.col("n") >= least).select("w").collect()) if least else []
 
 
 def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text", lexicon: int = 16_384) -> DataFrame:

@@ -424,3 +424,8 @@ def test_quality_classes(spark):
     assert all(r.keep == (r.perplexity is not None and r.perplexity <= r.threshold) for r in rows.values())
     assert quality.classify(awkward(spark), labels.limit(0)).where("keep").count() == sum(bool(r.text) for r in awkward(spark).collect())
     assert quality.classify(awkward(spark).limit(0), labels).count() == 0
+
+
+def test_frequent_words_are_bounded(spark):
+    docs = spark.createDataFrame([("a a a b b c",), ("x b a",), (None,)], "text string")
+    assert bpe.frequent_words(docs, n=1) == [] and bpe.frequent_words(docs, n=2) == [" a", " b"] and bpe.frequent_words(docs.limit(0)) == []
