@@ -94,11 +94,11 @@ class Model:
         if not 0 < y.sum() < len(y):
             return self
         df: dict[bytes, list[int]] = {}
-        sets = [set(words(t)) for t in texts]
-        for s, label in zip(sets, toxic):
-            for w in s:
+        for t, label in zip(texts, toxic):
+            for w in set(words(t)):
                 df.setdefault(w, [0, 0])[label] += 1
-        known = sorted(w for w, c in df.items() if sum(c) >= LEAST)
+        df = {w: c for w, c in df.items() if sum(c) >= LEAST}
+        known = sorted(df)
         self.rows = Rows({w: 1 + SHARED + i for i, w in enumerate(known)})
         size = 1 + SHARED + len(known)
         self.embedding = (self.random.standard_normal((size, DIM)) * 0.1).astype(np.float32)
@@ -112,12 +112,12 @@ class Model:
             w[0, 0] = np.abs(w[0, 0]) + 0.3
         self.out, self.bias = np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), np.float32(-1)
 
+        tokens = [(flat.astype(np.int32), starts, n) for flat, starts, n in (self.ids([t]) for t in texts)]
         self.languages = sorted({x for x in langs if x is not None}) or [""]
         logs = np.full((len(self.languages), size), 0.5)
-        for s, x in zip(sets, langs):
+        for (flat, _, (n,)), x in zip(tokens, langs):
             if x is not None:
-                at = [self.rows[w] for w in s]
-                np.add.at(logs[self.languages.index(x)], at, 1)
+                logs[self.languages.index(x), np.unique(flat[:n])] += 1
         logs[:, : 1 + SHARED] = 1  # padding and shared rows say nothing
         logs[:, 1 + SHARED :] /= logs[:, 1 + SHARED :].sum(1, keepdims=True) if len(known) else 1
         self.language_logs = np.log(logs).astype(np.float32)
@@ -125,7 +125,6 @@ class Model:
         order = self.random.permutation(len(y))
         judge, learn = order[: len(y) // 5], order[len(y) // 5 :]
         speed = [np.full(a.shape, 1e-3, np.float32) for a in (self.embedding, *self.filters, self.out)]
-        tokens = [self.ids([t]) for t in texts]
         balance = max(1.0, (len(y) - y.sum()) / y.sum())
 
         def step(which: int, array: np.ndarray, slope: np.ndarray, at=slice(None)) -> None:
