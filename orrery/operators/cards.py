@@ -5,12 +5,16 @@ All are lazy and native: windows by (run_id, channel), small tables of limits jo
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sequence as S
 
 KEYS = ["run_id", "channel"]
+#: Frames of more rows are sorted outside the window operator.
+WIDE = 64
 #: What a unit's values can't go below, by physics.
 PHYSICAL_MINIMUM = {"psi": -14.7, "bar": -1.013, "kPa": -101.3, "MPa": -0.1013, "Pa": -101325.0, "degC": -273.15, "C": -273.15, "K": 0.0, "degF": -459.67}
 
@@ -48,7 +52,18 @@ def smoothed(samples: DataFrame, fs: float, median_s: float) -> DataFrame:
     win = S.ordered(*KEYS)
     df = samples.withColumn("f", S.fill_linear("v", win))
     df = df.withColumn("xs", S.roll_mean("f", win, max(int(0.02 * fs), 1)))
-    return df.withColumn("xm", S.roll_median("xs", win, max(int(median_s * fs), 1)))
+    w = max(int(median_s * fs), 1)
+    return df.withColumn("xm", S.roll_median("xs", win, w)) if w <= WIDE else wide_median(df, "xs", "xm", w)
+
+
+def wide_median(df: DataFrame, v: str, name: str, w: int) -> DataFrame:
+    """A centred running median over many rows: sorting each frame anew costs w a row, so series go to pandas, which updates it."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("seq")
+        return g.assign(**{name: g[v].rolling(w, center=True, min_periods=1).median()})
+
+    return df.groupBy(*KEYS).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def whole() -> S.WindowSpec:
