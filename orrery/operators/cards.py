@@ -14,7 +14,7 @@ from ..functions import sequence as S
 
 KEYS = ["run_id", "channel"]
 #: Frames of more rows are sorted outside the window operator.
-WIDE = 64
+WIDE = 16
 #: What a unit's values can't go below, by physics.
 PHYSICAL_MINIMUM = {"psi": -14.7, "bar": -1.013, "kPa": -101.3, "MPa": -0.1013, "Pa": -101325.0, "degC": -273.15, "C": -273.15, "K": 0.0, "degF": -459.67}
 
