@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, checkpoint, chunks, map_texts, shared_folder, table
+from .common import CHUNK_BYTES, checkpoint, chunks, map_texts, shared_folder, table, written
 from .langid import held_out
 
 ORDER, BITS = 5, 12
@@ -26,6 +26,8 @@ PLAIN, CLASSES, START = 1024, 1 << BITS, 2
 PIECE, FLUSH = 1 << 19, 1 << 21
 #: Rows of the table that is broadcast at most (16 bytes each), and bytes of text in a pack otherwise.
 MOST_GRAMS, PACK_BYTES = 4_000_000, 16 << 20
+#: Ids of trusted documents (16 bytes each) that are broadcast at most; more are joined, which moves the texts.
+MOST_TRUSTED = 5_000_000
 
 
 def grams(texts: list[bytes | None]):
@@ -101,7 +103,7 @@ def suffix(gram: str, order: int) -> Column:
 
 def train(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     """For each order: (gram, p), interpolated with all lower orders, and (context, gamma), its weight of the next lower order."""
-    counts = {ORDER: checkpoint(count_grams(texts))}
+    counts = {ORDER: written(count_grams(texts))}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many contexts an n-gram follows
         counts[k] = counts[k + 1].groupBy(suffix("gram", k).alias("gram")).agg(F.count("*").alias("n"))
     model, lower = {}, None
@@ -121,7 +123,7 @@ def train(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         else:
             p = p.withColumn("suffix", suffix("gram", k - 1)).join(lower.withColumnsRenamed({"gram": "suffix", "p": "q"}), "suffix")
             p = p.select("gram", (F.col("alpha") + F.col("gamma") * F.col("q")).alias("p"))
-        lower = checkpoint(p)
+        lower = written(p)
         model[k] = lower, context.select("context", "gamma")
     return model
 
@@ -181,7 +183,7 @@ def perplexity(docs: DataFrame, trusted: DataFrame, keep: list[str], text: str =
     body = F.col(f"`{text}`").cast("binary").alias("text")
     model = train(trusted.select(body).where(F.col("text").isNotNull()))
     known = docs.select(body).where(F.col("text").isNotNull())
-    asked = checkpoint(count_grams(known).select("gram"))
+    asked = written(count_grams(known).select("gram"))
     scored = probabilities(model, asked)
     if asked.count() <= most_grams:
         got = scored.toArrow()
@@ -217,7 +219,8 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     kept; where no threshold can be had everything else is.
     """
     good = labels.groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(quality)).alias("q")).where("q = 1").select("__id")
-    trusted = docs.join(good.where(~held_out("__id")), F.col(f"`{doc_id}`") == F.col("__id"), "left_semi")
+    learnt = good.where(~held_out("__id"))
+    trusted = docs.join(F.broadcast(learnt) if good.count() <= MOST_TRUSTED else learnt, F.col(f"`{doc_id}`") == F.col("__id"), "left_semi")
     flagged = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     scored = checkpoint(perplexity(flagged, trusted.select(F.col(f"`{text}`").alias("text")), ["id", "lang"], **options))
     of = scored.join(good.where(held_out("__id")), F.col("id") == F.col("__id"), "left_semi").where(F.col("perplexity").isNotNull())

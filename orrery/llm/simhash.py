@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, map_texts, table
 
 BITS = 64
+#: Crowded shards (16 bytes each) whose list is broadcast at most; a longer one is joined.
+MOST_CROWDED = 200_000
 
 
 def fingerprint(text: bytes | None, k: int = 4, block: int = 1 << 15) -> int:
@@ -129,10 +131,12 @@ def shard_links(shards: DataFrame, radius: int, small: int = 48) -> DataFrame:
         key, held, links = None, [], []
         for batch in batches:
             shard, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            cuts = np.flatnonzero(shard[1:] != shard[:-1]) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
-                if lo == hi:
-                    continue
+            if not len(shard):
+                continue
+            cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+            some = np.diff(cuts) > 1  # a shard of one row has no links; the first and last may go on in other batches
+            some[[0, -1]] = True
+            for lo, hi in zip(cuts[:-1][some].tolist(), cuts[1:][some].tolist()):
                 if held and shard[lo] != key:
                     links += solve(np.concatenate(held) if len(held) > 1 else held[0])
                     held = []
@@ -152,13 +156,14 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 6, shard_limit: in
     """Links (a, b) that connect all fingerprints (column fp, distinct) within radius bits of each other."""
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks(radius, blocks)])).alias("choice", "mask"))
     keyed = keyed.select("fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / shard_limit).cast("int")
+    # Only crowded shards need their size; they are few, whatever the number of shards.
+    sizes = checkpoint(keyed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_limit))
     own = F.pmod(F.hash("fp"), F.col("parts"))
     pair = lambda x: F.xxhash64("shard", F.least(x, F.col("own")), F.greatest(x, F.col("own")))
     crowded = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own")), pair)
-    dealt = keyed.join(sizes, "shard").withColumn("parts", parts).withColumn("own", own)
-    dealt = dealt.select("fp", F.explode(F.when(F.col("parts") == 1, F.array("shard")).otherwise(crowded)).alias("shard"))
+    parts = sizes.select("shard", F.ceil(F.col("n") / shard_limit).cast("int").alias("parts"))
+    dealt = keyed.join(F.broadcast(parts) if sizes.count() <= MOST_CROWDED else parts, "shard", "left").withColumn("own", own)
+    dealt = dealt.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("shard")).otherwise(crowded)).alias("shard"))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return shard_links(dealt.repartition(n, "shard").sortWithinPartitions("shard"), radius).distinct()
 

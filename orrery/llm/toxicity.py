@@ -205,7 +205,9 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
     rows, weight = sample(docs, labels, **options)
-    return Model().fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), rows.column("lang").to_pylist(), weight)
+    texts, toxic, langs = (rows.column(c).to_pylist() for c in ("text", "toxic", "lang"))
+    del rows
+    return Model().fit(texts, toxic, langs, weight)
 
 
 def classify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
