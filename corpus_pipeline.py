@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, decontaminate, secrets, simhash, toxicity
+from orrery.llm import alike, bpe, decontaminate, secrets, toxicity
 from orrery.llm.common import shared_folder, table
 from orrery.llm.langid import held_out
 
@@ -23,9 +23,9 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_near_duplicates_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row of the smallest doc_id stays. Texts whose 5-word shingles are alike to 0.8 or more differ in
-    about 8 of 64 bits or fewer, mostly; so fingerprints link at 8 bits here, three of eleven blocks being equal."""
-    return simhash.deduplicate(docs, k=5, radius=8, blocks=11)
+    """Of each component the row of the smallest doc_id stays. Texts whose sets of 5-word shingles have a Jaccard similarity of
+    0.8 or more are linked, each link decided by the two whole texts."""
+    return alike.deduplicate(docs, k=5)
 
 
 def contaminated_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,17 +220,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return found.select(F.col("__id").alias(doc_id), F.col("__fp").alias("fp"), F.col("__component").alias("component_id"))
 
 
+def one_of_each(rows: DataFrame, found: DataFrame, own: str) -> DataFrame:
+    """The row of rows (with __row, a hash of the whole row) of the smallest id in each __root of found (__id, __row, __root); of equal rows one."""
+    first = F.min(F.struct("__id", "__row", "n")).alias("one")
+    chosen = found.groupBy("__root", "__id", "__row").agg(F.count("*").alias("n")).groupBy("__root").agg(first).select(F.col("one.__id").alias("__id"), F.col("one.__row").alias("__chosen"), "one.n")
+    kept = rows.join(chosen, (F.col("__row") == F.col("__chosen")) & F.col(own).eqNullSafe(F.col("__id")))
+    return kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(["__row", own]))
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4, blocks: int = 6, shard_limit: int = 8192) -> DataFrame:
     """One row of each component of docs: that of the smallest doc_id (nulls first), and of rows that are equal in every column one."""
     safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own, body = (f"c{docs.columns.index(c)}" for c in (doc_id, text))
     safe = safe.withColumn("__row", F.xxhash64(*safe.columns))
     found = clusters(safe, ["__row"], own, body, k, radius, blocks, shard_limit)
-    first = F.min(F.struct("__id", "__row", "n")).alias("one")
-    chosen = found.groupBy("__root", "__id", "__row").agg(F.count("*").alias("n")).groupBy("__root").agg(first).select(F.col("one.__id").alias("__id"), F.col("one.__row").alias("__chosen"), "one.n")
-    kept = safe.join(chosen, (F.col("__row") == F.col("__chosen")) & F.col(own).eqNullSafe(F.col("__id")))
-    once = kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(["__row", own]))
-    return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return one_of_each(safe, found, own).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def hexadecimal(fp: str | Column) -> Column:
