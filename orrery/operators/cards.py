@@ -284,13 +284,18 @@ def spikes(samples: DataFrame, fs: float, native: float | None = None, sigmas: f
     return best.where((F.col("width") <= 5) & side & back).select(*KEYS, x("seq").alias("seq"), x("t").alias("t"), x("f").alias("value"), x("med").alias("local_median"), (x("f") - x("med")).alias("deviation"), (x("res") / x("sigma")).alias("sigmas"))
 
 
-def coincident(found: DataFrame, families: DataFrame, reach: float = 0.02) -> DataFrame:
-    """Spikes within reach seconds of one on another family of sensors, in clusters: (run_id, cluster, t_start, t_end, channels, n)."""
+def coincident_hits(found: DataFrame, families: DataFrame, reach: float = 0.02) -> DataFrame:
+    """(run_id, channel, t) of spikes within reach seconds of one on another family of sensors."""
     tagged = found.join(F.broadcast(families), "channel")
     slot = F.floor(F.col("t") / reach)
     a = tagged.withColumn("slot", slot)
     b = tagged.select("run_id", F.col("t").alias("t2"), F.col("family").alias("family2"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    hit = a.join(b, ["run_id", "slot"]).where((F.abs(F.col("t") - F.col("t2")) <= reach) & (F.col("family") != F.col("family2"))).select("run_id", "channel", "t").distinct()
+    return a.join(b, ["run_id", "slot"]).where((F.abs(F.col("t") - F.col("t2")) <= reach) & (F.col("family") != F.col("family2"))).select("run_id", "channel", "t").distinct()
+
+
+def coincident(found: DataFrame, families: DataFrame, reach: float = 0.02) -> DataFrame:
+    """Those spikes in clusters: (run_id, cluster, t_start, t_end, channels, n)."""
+    hit = coincident_hits(found, families, reach)
     win = S.Window.partitionBy("run_id").orderBy("t", "channel")
     return S.numbered_runs(hit, F.col("t") - F.lag("t").over(win) > reach, win, "cluster").groupBy("run_id", "cluster").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("channels"), F.count("*").alias("n"))
 

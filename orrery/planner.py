@@ -15,14 +15,15 @@ ORDER = {"critical": 0, "warning": 1, "info": 2}
 
 
 def analyse(spark: SparkSession, tables: dict) -> tuple[Ledger, DataFrame]:
-    """Runs the playbook over all runs of tables (samples, fs, and what there is of redlines, valve_pairs, reference); the ledger and the findings."""
+    """Runs the playbook over all runs of tables (samples, fs, and what there is of redlines, valve_pairs, ratio_pairs (thrust, pressure), units, families, reference); the ledger and the findings."""
     ledger = Ledger(spark, tables)
-    steps = ["describe_data", "segment_phases", "pulse_metrics", "check_sensor_health"]
-    steps += [tool for table, tool in (("redlines", "check_redlines"), ("valve_pairs", "measure_valve_response"), ("reference", "compare_reference")) if table in tables]
-    steps += ["detect_oscillation"]
+    steps: list[tuple[str, dict]] = [(tool, {}) for tool in ("describe_data", "segment_phases", "pulse_metrics", "check_sensor_health")]
+    steps += [(tool, {}) for table, tool in (("redlines", "check_redlines"), ("valve_pairs", "measure_valve_response")) if table in tables]
+    steps += [("check_thrust_pressure_ratio", r.asDict()) for r in (tables["ratio_pairs"].select("thrust", "pressure").distinct().orderBy("thrust", "pressure").collect() if "ratio_pairs" in tables else [])]
+    steps += [("detect_oscillation", {}), *[("compare_reference", {})] * ("reference" in tables)]
     found: list[dict] = []
-    for tool in steps:
-        for e in ledger.run(tool):
+    for tool, params in steps:
+        for e in ledger.run(tool, **params):
             found += findings(e, json.loads(e["result"]))
     covered = {(f["run_id"], f["channel"]) for f in found if f["category"] in ("sensor_fault", "redline_violation")}
     found = [f for f in found if f["category"] != "performance_deviation" or (f["run_id"], f["channel"]) not in covered]
@@ -50,6 +51,12 @@ def findings(entry: dict, result: dict) -> list[dict]:
         for v in result.get("events", []):
             severity = "critical" if (v["peak_amp_pct"] or 0) >= 1.0 else "warning"
             out.append(one(f"Oscillation of {v['channel']}", f"A line with frequency {v['freq_hz']} Hz from {v['t_start']} to {v['t_end']} s.", "combustion_oscillation", severity, v["channel"], v["t_start"], v["t_end"]))
+    elif tool == "check_thrust_pressure_ratio":
+        pair = json.loads(entry["params"])
+        for v in result.get("ratio", []):
+            if v["applicable"] and not v["consistent"]:
+                said = "" if v["change_pct"] is None else f", a change of {v['change_pct']} %"
+                out.append(one(f"Ratio of {pair['thrust']} to {pair['pressure']} drifts", f"It lies between {v['ratio_min']} and {v['ratio_max']} from {v['t_first']} to {v['t_last']} s{said}.", "performance_deviation", "warning", pair["thrust"], v["t_first"], v["t_last"]))
     elif tool == "compare_reference":
         for v in result.get("intervals", []):
             out.append(one(f"{v['channel']} departs from its reference", f"From {v['t_start']} to {v['t_end']} s, a deviation of {v['mean_dev_pct']} %.", "performance_deviation", "warning", v["channel"], v["t_start"], v["t_end"]))
@@ -64,6 +71,12 @@ def findings(entry: dict, result: dict) -> list[dict]:
             out.append(one(f"{v['channel']} is stuck", f"Lasting {v['duration_s']} s at the value {v['stuck_value']}.", "sensor_fault", "warning", v["channel"], v["t_start"], v["t_end"]))
         for v in result.get("spikes", []):
             out.append(one(f"Spike of {v['channel']}", f"It reads {v['value']} at {v['t']} s.", "sensor_fault", "warning", v["channel"], v["t"]))
+        for v in result.get("coincident_spikes", []):
+            out.append(one("Spikes at once on " + v["channels"], f"There are {v['n']} from {v['t_start']} to {v['t_end']} s.", "sensor_fault", "warning", None, v["t_start"], v["t_end"]))
+        for v in result.get("impossible", []):
+            out.append(one(f"{v['channel']} reads impossible values", f"It goes down to {v['min_value']}; the physical limit is {v['physical_limit']}.", "sensor_fault", "warning", v["channel"]))
+        for v in result.get("no_return", []):
+            out.append(one(f"{v['channel']} does not return to its baseline", f"It stays at {v['post_level']} after {v['baseline']} before, an offset of {v['offset_of_steady_pct']} %.", "sensor_fault", "warning", v["channel"]))
     return out
 
 

@@ -172,6 +172,16 @@ def impossible_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("channel", "n_below", "min_value", r6("share_of_record_pct").alias("share_of_record_pct"))
 
 
+@query(f"""WITH {EVP}, ph AS ({SQL["segment_phases"]}),
+m AS (SELECT channel, any_value(steady_level) AS steady_level, any_value(baseline) AS low, quantile_cont(v, 0.5) FILTER (seq < i_ignition) AS baseline, quantile_cont(v, 0.5) FILTER (seq > greatest(i_shutdown + 100, i_tail)) AS post_level,
+  count(v) FILTER (seq < i_ignition) AS n0, count(v) FILTER (seq > greatest(i_shutdown + 100, i_tail)) AS n1 FROM s JOIN ph USING (channel) WHERE fired GROUP BY channel)
+SELECT channel, round(baseline, 6) AS baseline, round(post_level, 6) AS post_level, round(100 * (post_level - baseline) / (steady_level - low), 6) AS offset_of_steady_pct FROM m WHERE n0 >= 50 AND n1 >= 50 AND 100 * (post_level - baseline) / (steady_level - low) > 25""")
+def baseline_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = segment_phases(spark, sf_dir).withColumn("run_id", F.lit("all"))
+    found = cards.no_return_to_baseline(run(spark, sf_dir), segments, FS)
+    return found.select("channel", *[r6(c).alias(c) for c in ("baseline", "post_level", "offset_of_steady_pct")])
+
+
 @query(f"WITH {EVP}, n AS (SELECT seq, count(*) FILTER (v IS NULL) AS missing, count(*) AS channels FROM s GROUP BY seq) SELECT seq, missing FROM n WHERE missing >= 2")
 def shared_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places where two channels or more have no sample."""

@@ -79,11 +79,19 @@ def check_redlines(tables, persistence_s=0.01):
     return {"violations": violations, "suppressed": suppressed}
 
 
-@operator("Gaps, dead and duplicate channels, flatlines and spikes.")
+@operator("Gaps, dead and duplicate channels, flatlines, spikes alone and coincident, impossible values and no return to baseline.")
 def check_sensor_health(tables):
+    """Impossible values need tables' units (channel, unit), coincident spikes families (channel, family); without them no channel has a limit or family."""
     fs, s = tables["fs"], tables["samples"].where(~F.col("channel").rlike("(?i)^cmd|_cmd$"))  # commands hold their values by design
     moving = s.join(cards.dead_channels(s), cards.KEYS, "left_anti")  # a dead channel has no further issues
-    return {"gaps": cards.gap_issues(s), "dead": cards.dead_channels(s), "duplicates": cards.duplicate_channels(s), "flatlines": cards.flatlines(moving, fs), "spikes": cards.spikes(moving, fs)}
+    spikes = cards.spikes(moving, fs)
+    found = {"gaps": cards.gap_issues(s), "dead": cards.dead_channels(s), "duplicates": cards.duplicate_channels(s), "flatlines": cards.flatlines(moving, fs)}
+    if "families" in tables:
+        found["coincident_spikes"] = cards.coincident(spikes, tables["families"])
+        spikes = spikes.join(cards.coincident_hits(spikes, tables["families"]), [*cards.KEYS, "t"], "left_anti").select(*spikes.columns)
+    if "units" in tables:
+        found["impossible"] = cards.impossible_values(moving, tables["units"], fs)
+    return found | {"spikes": spikes, "no_return": cards.no_return_to_baseline(moving, cards.segment_phases(moving, fs), fs)}
 
 
 @operator("Lines of one frequency that stand out.", channel=str, fmin=float, fmax=float, threshold_pct=float, window_s=float, min_windows=int)
