@@ -39,7 +39,15 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder: for tables of many narrow rows, a tenth of a checkpoint's size."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.folder = path  # for remove()
+    return out
+
+
+def remove(spark: SparkSession, what: DataFrame | str) -> None:
+    """Deletes a folder of the shared checkpoint folder, or what written() put there. Nothing may read it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(what if isinstance(what, str) else what.folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def chunks(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:

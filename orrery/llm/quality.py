@@ -1,15 +1,18 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character 5-grams, trained on trusted text.
 
 Words of open vocabularies make count tables as large as the corpus; characters in classes of 12 bits fit five in an integer,
-whose context and suffixes are bit operations. Counts of all trusted text, continuation counts, discounts, and the
-probabilities of every 5-gram that occurs anywhere are Spark aggregates and joins, dealt out by the n-gram. Documents are then
-scored against the table of log-probabilities: broadcast where it has at most `most_grams` rows, else joined to packs of
-documents, each of which is scored with the rows that it needs.
+whose context and suffixes are bit operations. There is one path at every size. Documents are written once, in packs of
+bounded size, as a table bucketed by pack; no text is shuffled afterwards. Trusted rows are found by a join of ids alone and
+sent to their packs. Each pack gives its distinct 5-grams with their counts in trusted text; counts, continuation counts,
+discounts and probabilities are sharded aggregates and joins by n-gram; each pack gets the probabilities of its own
+5-grams back and is scored beside them. A 5-gram has at most one row in a pack, so the most frequent one is no larger a
+share of the rows than one in the number of a pack's distinct 5-grams. The driver holds only counts of counts.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,17 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, checkpoint, chunks, map_texts, shared_folder, table, written
+from .common import CHUNK_BYTES, chunks, remove, shared_folder, table, written
 from .langid import held_out
 
 ORDER, BITS = 5, 12
 #: Code units below PLAIN are a class each, others are hashed into the rest; START stands before a text.
 PLAIN, CLASSES, START = 1024, 1 << BITS, 2
-PIECE, FLUSH = 1 << 19, 1 << 21
-#: Rows of the table that is broadcast at most (16 bytes each), and bytes of text in a pack otherwise.
-MOST_GRAMS, PACK_BYTES = 4_000_000, 16 << 20
-#: Ids of trusted documents (16 bytes each) that are broadcast at most; more are joined, which moves the texts.
-MOST_TRUSTED = 5_000_000
+PIECE = 1 << 19
+#: Bytes of text in a pack; one longer text is a pack of its own.
+PACK_BYTES = 48 << 20
 
 
 def grams(texts: list[bytes | None]):
@@ -61,70 +62,100 @@ def joined(run: list[tuple[int, np.ndarray]]):
     return np.array([i for i, _ in run]), np.cumsum(own) - own, g[keep]
 
 
-def count_grams(texts: DataFrame, packs: bool = False) -> DataFrame:
-    """(gram, n) over all texts (column text, binary), or (pack, gram, n) for each run of rows with one pack. Tasks sum up before they send."""
-
-    def run(batches):
-        keys, counts, pack = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-
-        def out():
-            names = (["pack"] if packs else []) + ["gram", "n"]
-            return pa.RecordBatch.from_arrays([*([pa.array(np.full(len(keys), pack, np.int64))] if packs else []), pa.array(keys), pa.array(counts)], names)
-
-        for batch in batches:
-            for part in chunks(batch, 0, CHUNK_BYTES):
-                owners = part.column(1).to_numpy(zero_copy_only=False) if packs else np.zeros(len(part), np.int64)
-                cuts = [0, *(np.flatnonzero(owners[1:] != owners[:-1]) + 1).tolist(), len(owners)]
-                for lo, hi in zip(cuts, cuts[1:]):
-                    if lo == hi:
-                        continue
-                    if packs and pack != owners[lo] and len(keys):
-                        yield out()
-                        keys, counts = keys[:0], counts[:0]
-                    pack = owners[lo]
-                    for _, _, g in grams(part.column(0).slice(lo, hi - lo).to_pylist()):
-                        own, n = np.unique(g, return_counts=True)
-                        both, place = np.unique(np.concatenate([keys, own]), return_inverse=True)
-                        counts = np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
-                        keys = both
-                        if len(keys) > FLUSH:
-                            yield out()
-                            keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield out()
-
-    columns = ["pack", "gram"] if packs else ["gram"]
-    return texts.select("text", *(["pack"] if packs else [])).mapInArrow(run, ("pack long, " if packs else "") + "gram long, n long").groupBy(*columns).agg(F.sum("n").alias("n"))
+class Packs:
+    """Rows dealt to packs as they come: a table (pack, at, columns, text), bucketed by pack, so that what is grouped by pack meets it in place."""
+
+    def __init__(self, rows: DataFrame, pack_bytes: int = PACK_BYTES) -> None:
+        """rows has the binary column text last."""
+        spark = self.spark = rows.sparkSession
+        last = len(rows.columns) - 1
+        schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("at", T.LongType()), *rows.schema.fields])
+        columns = schema.names
+
+        def deal(batches):
+            # The task's own id comes from Spark as the first column: retried tasks give the same packs.
+            seq = at = held = 0
+            for batch in batches:
+                for part in chunks(batch, last + 1, min(CHUNK_BYTES, pack_bytes)):
+                    size = part.column(last + 1).nbytes
+                    if held and held + size > pack_bytes:
+                        seq, at, held = seq + 1, 0, 0
+                    task = part.column(0).to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array((task << 24) + seq), pa.array(np.arange(at, at + len(part))), *part.columns[1:]], columns)
+                    at, held = at + len(part), held + size
+
+        name = f"orrery_packs_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/{name}"
+        dealt = rows.select(F.spark_partition_id().cast("long").alias("__task"), *rows.columns).mapInArrow(deal, schema)
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt.write.bucketBy(buckets, "pack").option("compression", "zstd").option("path", self.path).format("parquet").saveAsTable(name)
+        self.name = name
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
+
+
+def pieces(rows: pa.Table):
+    for batch in rows.select(["text"]).to_batches():
+        yield from chunks(batch, 0, CHUNK_BYTES)
+
+
+def count_grams(packs: Packs, marks: DataFrame) -> DataFrame:
+    """(pack, gram, n): each pack's distinct 5-grams, and how often they occur in its rows that marks (pack, at) names."""
+
+    def count(rows: pa.Table, marked: pa.Table) -> pa.Table:
+        flags = np.isin(rows.column("at").to_numpy(), marked.column("marked_at").to_numpy())
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = 0
+        for part in pieces(rows):
+            for owner, starts, g in grams(part.column(0).to_pylist()):
+                own, place = np.unique(g, return_inverse=True)
+                n = np.bincount(place, np.repeat(flags[at + owner], np.diff(np.append(starts, len(g)))), len(own))
+                both, place = np.unique(np.concatenate([keys, own]), return_inverse=True)
+                keys, counts = both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
+            at += len(part)
+        pack = rows.column("pack")[0].as_py() if len(rows) else 0
+        return pa.table([pa.array(np.full(len(keys), pack, np.int64)), pa.array(keys), pa.array(counts)], names=["pack", "gram", "n"])
+
+    marks = marks.toDF("marked_pack", "marked_at")
+    return packs.rows().select("pack", "at", "text").groupBy("pack").cogroup(marks.groupBy("marked_pack")).applyInArrow(count, "pack long, gram long, n long")
 
 
 def suffix(gram: str, order: int) -> Column:
     return F.col(gram).bitwiseAND(F.lit((1 << BITS * order) - 1))
 
 
-def train(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """For each order: (gram, p), interpolated with all lower orders, and (context, gamma), its weight of the next lower order."""
-    counts = {ORDER: written(count_grams(texts))}
+def train(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """From (gram, n) of the highest order, for each order: (gram, p), interpolated with all lower orders, and (context, gamma), its weight of the next lower order."""
+    of = {ORDER: written(counts)}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many contexts an n-gram follows
-        counts[k] = counts[k + 1].groupBy(suffix("gram", k).alias("gram")).agg(F.count("*").alias("n"))
+        of[k] = written(of[k + 1].groupBy(suffix("gram", k).alias("gram")).agg(F.count("*").alias("n")))
+    counted = reduce(DataFrame.unionByName, [of[k].agg(F.lit(k).alias("k"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]) for k in of])
     model, lower = {}, None
-    for k in range(1, ORDER + 1):
-        c = counts[k]
-        n1, n2, n3, n4 = (x or 0 for x in c.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first())
+    spark = counts.sparkSession
+    for k, n1, n2, n3, n4 in sorted(map(tuple, counted.collect())):
+        c = of[k]
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         # Discounts of Chen and Goodman; a corpus too small to have them gets 0.5, 1 and 1.5.
         d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if n1 and n2 and n3 else [0.5, 1.0, 1.5]
         d = [min(max(x, 0.1), i - 0.05) for i, x in enumerate(d, 1)]
         context = c.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("n3"))
         context = context.withColumn("gamma", sum(F.lit(d[i]) * F.col(f"n{i + 1}") for i in range(3)) / F.col("total"))
+        context = written(context.select("context", "total", "gamma"))
         discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        p = c.withColumn("context", F.shiftright("gram", BITS)).join(context.select("context", "total", "gamma"), "context").withColumn("alpha", (F.col("n") - discount) / F.col("total"))
+        p = c.withColumn("context", F.shiftright("gram", BITS)).join(context, "context").withColumn("alpha", (F.col("n") - discount) / F.col("total"))
         if k == 1:
             p = p.select("gram", (F.col("alpha") + F.col("gamma") / CLASSES).alias("p"))
         else:
             p = p.withColumn("suffix", suffix("gram", k - 1)).join(lower.withColumnsRenamed({"gram": "suffix", "p": "q"}), "suffix")
             p = p.select("gram", (F.col("alpha") + F.col("gamma") * F.col("q")).alias("p"))
         lower = written(p)
-        model[k] = lower, context.select("context", "gamma")
+        remove(spark, c)
+        model[k] = lower, context
     return model
 
 
@@ -136,7 +167,7 @@ def probabilities(model: dict[int, tuple[DataFrame, DataFrame]], asked: DataFram
         return asked.join(p, "gram", "left").join(F.broadcast(rest)).select("gram", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) / CLASSES).alias("p"))
     keyed = asked.select("gram", F.shiftright("gram", BITS).alias("context"), suffix("gram", order - 1).alias("suffix"))
     lower = probabilities(model, keyed.select(F.col("suffix").alias("gram")).distinct(), order - 1)
-    found = keyed.join(p, "gram", "left").join(context, "context", "left").join(lower.withColumnsRenamed({"gram": "suffix", "p": "q"}), "suffix")
+    found = keyed.join(p, "gram", "left").join(context.drop("total"), "context", "left").join(lower.withColumnsRenamed({"gram": "suffix", "p": "q"}), "suffix")
     return found.select("gram", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p"))
 
 
@@ -174,62 +205,72 @@ class Scores:
         return units.tolist(), [float(np.exp(-s / n)) if n else None for s, n in zip(sums, units.tolist())]
 
 
-def perplexity(docs: DataFrame, trusted: DataFrame, keep: list[str], text: str = "text", most_grams: int = MOST_GRAMS, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def scored(packs: Packs, counted: DataFrame, keep: list[T.StructField]) -> DataFrame:
+    """The columns keep, n_units and perplexity of each row, written; counted is count_grams() of the packs, written."""
+    model = train(counted.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")))
+    asked = written(probabilities(model, counted.select("gram").distinct()))
+    needed = counted.select("pack", "gram").join(asked, "gram")
+    names = [f.name for f in keep]
+
+    def score(rows: pa.Table, own: pa.Table) -> pa.Table:
+        known = Scores(own.column("gram").to_numpy(), own.column("p").to_numpy())
+        units, found = [], []
+        for part in pieces(rows):
+            a, b = known.total(part.column(0).to_pylist())
+            units += a
+            found += b
+        return pa.table([*[rows.column(n) for n in names], pa.array(units, pa.int64()), pa.array(found, pa.float64())], names=[*names, "n_units", "perplexity"])
+
+    schema = T.StructType([*keep, T.StructField("n_units", T.LongType()), T.StructField("perplexity", T.DoubleType())])
+    found = packs.rows().select("pack", *names, "text").groupBy("pack").cogroup(needed.groupBy("pack")).applyInArrow(score, schema)
+    result = written(found)
+    for df in (asked, *[x for pair in model.values() for x in pair]):
+        remove(packs.spark, df)
+    return result
+
+
+def perplexity(docs: DataFrame, trusted: DataFrame, keep: list[str], text: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
     """The columns keep, n_units and perplexity (null for null and empty texts) of each row of docs, by the model of trusted's texts.
 
-    Without any trusted text all 5-grams are equally likely. Equal texts have equal values.
+    Without any trusted text all 5-grams are equally likely. Equal texts have equal values; other columns, whatever their
+    names, don't matter.
     """
-    spark = docs.sparkSession
-    body = F.col(f"`{text}`").cast("binary").alias("text")
-    model = train(trusted.select(body).where(F.col("text").isNotNull()))
-    known = docs.select(body).where(F.col("text").isNotNull())
-    asked = written(count_grams(known).select("gram"))
-    scored = probabilities(model, asked)
-    if asked.count() <= most_grams:
-        got = scored.toArrow()
-        shared = spark.sparkContext.broadcast(Scores(got.column("gram").to_numpy(), got.column("p").to_numpy()))
-        return map_texts(docs, keep, text, "n_units long, perplexity double", lambda: lambda texts: shared.value.total(texts))
-    # Packs of documents by a hash, written once; each is scored beside the rows of the table that it needs.
-    total = docs.agg(F.sum(F.length(body))).first()[0]
     names = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], body)
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64("text", *names), F.lit(-(-total // pack_bytes))))
-    folder = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
-    rows.repartition("pack").sortWithinPartitions("pack").write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    needed = count_grams(rows.where(F.col("text").isNotNull()), packs=True).select("pack", "gram").join(scored, "gram")
-    places = list(range(len(names)))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Scores(right.column("gram").to_numpy(), right.column("p").to_numpy())
-        units, found = own.total(left.column("text").to_pylist())
-        return pa.table([*[left.column(i) for i in places], pa.array(units, pa.int64()), pa.array(found, pa.float64())], names=[*names, "n_units", "perplexity"])
-
-    schema = T.StructType([T.StructField(n, rows.schema[n].dataType) for n in names] + [T.StructField("n_units", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-    both = rows.groupBy("pack").cogroup(needed.groupBy("pack")).applyInArrow(score, schema)
-    return both.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_units", "perplexity")
+    body = F.col(f"`{text}`").cast("binary").alias("text")
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.lit(False).alias("learn"), body)
+    learn = trusted.select(*[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in names], F.lit(True).alias("learn"), body)
+    packs = Packs(rows.union(learn), pack_bytes)
+    counted = written(count_grams(packs, packs.rows().where("learn").select("pack", "at")))
+    found = scored(packs, counted, [*[rows.schema[n] for n in names], T.StructField("learn", T.BooleanType())])
+    packs.drop()
+    remove(docs.sparkSession, counted)
+    return found.where("not learn").select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_units", "perplexity")
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", quantile: float = 0.99, slack: float = 0.1, least: int = 20, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", quantile: float = 0.99, slack: float = 0.1, least: int = 20, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """(doc_id, lang, n_units, perplexity, threshold, keep) for each row of docs.
 
     Trusted are rows whose doc_id is labelled quality 1 (of several labels the largest). The model learns from four fifths of them (by
     crc32 of the id); a language's threshold is the quantile of the others' perplexity, times 1 + slack. Languages with fewer
     than least such documents, and null, take that of all languages. Null and empty texts have no perplexity and aren't
-    kept; where no threshold can be had everything else is.
+    kept; where no threshold can be had everything else is. Equal texts of one language have equal values, and each repeated
+    row stays; no documents, or no labels, give no rows, or no thresholds.
     """
-    good = labels.groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(quality)).alias("q")).where("q = 1").select("__id")
-    learnt = good.where(~held_out("__id"))
-    trusted = docs.join(F.broadcast(learnt) if good.count() <= MOST_TRUSTED else learnt, F.col(f"`{doc_id}`") == F.col("__id"), "left_semi")
-    flagged = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    scored = checkpoint(perplexity(flagged, trusted.select(F.col(f"`{text}`").alias("text")), ["id", "lang"], **options))
-    of = scored.join(good.where(held_out("__id")), F.col("id") == F.col("__id"), "left_semi").where(F.col("perplexity").isNotNull())
+    good = labels.groupBy(F.col(f"`{doc_id}`").alias("__id")).agg(F.max(F.col(f"`{quality}`")).alias("q")).where("q = 1").select("__id")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("binary").alias("text"))
+    packs = Packs(rows, pack_bytes)
+    ids = packs.rows().select("pack", "at", "id")
+    counted = written(count_grams(packs, ids.join(good.where(~held_out("__id")), F.col("id") == F.col("__id")).select("pack", "at")))
+    found = scored(packs, counted, rows.schema.fields[:2])
+    packs.drop()
+    remove(docs.sparkSession, counted)
+    of = found.join(good.where(held_out("__id")), F.col("id") == F.col("__id"), "left_semi").where(F.col("perplexity").isNotNull())
     cut = (F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)) * (1 + slack)).alias("own")
     by_language = of.where(F.col("lang").isNotNull()).groupBy(F.col("lang").alias("__lang")).agg(cut, F.count("*").alias("n")).where(F.col("n") >= least)
-    found = scored.join(by_language, F.col("lang") == F.col("__lang"), "left").join(F.broadcast(of.agg(cut.alias("common"))))
+    limits = found.join(by_language, F.col("lang") == F.col("__lang"), "left").join(F.broadcast(of.agg(cut.alias("common"))))
     threshold = F.coalesce("own", "common")
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
-    return found.select(F.col("id").alias("doc_id"), "lang", "n_units", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
+    return limits.select(F.col("id").alias("doc_id"), "lang", "n_units", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

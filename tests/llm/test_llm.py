@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -404,14 +405,13 @@ def kneser_ney(trusted, texts):
     return out
 
 
-@pytest.mark.parametrize("path", ["broadcast", "packs"])
-def test_quality(spark, path, monkeypatch):
+@pytest.mark.parametrize("pack_bytes", [60, quality.PACK_BYTES])
+def test_quality(spark, pack_bytes, monkeypatch):
     monkeypatch.setattr(quality, "PIECE", 50)
     trusted = ["the cat sat on the mat " * 4, "the dog sat on the log", "a cat and a dog", "ça va bien, merci"]
     texts = ["the cat on the log", "zzzqqq %%%", "", None, "The Cat", "a", "ça " * 60, "the cat on the log"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "perplexity long, text string")
-    options = {"most_grams": 0, "pack_bytes": 60} if path == "packs" else {}
-    got = quality.perplexity(docs.withColumnRenamed("perplexity", "id"), spark.createDataFrame([(t,) for t in trusted], "text string"), ["id"], **options)
+    got = quality.perplexity(docs.withColumnRenamed("perplexity", "id"), spark.createDataFrame([(t,) for t in trusted], "text string"), ["id"], pack_bytes=pack_bytes)
     rows = {r.id: (r.n_units, r.perplexity) for r in got.collect()}
     for i, want in enumerate(kneser_ney(trusted, texts)):
         assert rows[i] == (want[0], pytest.approx(want[1]) if want[1] is not None else None)
@@ -426,6 +426,24 @@ def test_quality_classes(spark):
     assert quality.classify(awkward(spark).limit(0), labels).count() == 0
 
 
+def test_quality_thresholds(spark):
+    """Against the definition: the quantile of held-out trusted documents by language, ties included; the common one below least documents."""
+    rng = np.random.default_rng(3)
+    words = ["cat", "dog", "mat", "log", "sat", "on", "the", "ran"]
+    rows = [(i, " ".join(rng.choice(words, 6 + i % 3)), "en" if i % 4 else "de") for i in range(240)] + [(500 + i, "the cat sat on the mat", "en") for i in range(20)] + [(600, "", "en"), (601, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows if i % 7], "doc_id long, quality int")
+    got = quality.classify(docs, labels, quantile=0.5, slack=0.0, least=20).collect()
+    assert len(got) == len(rows)
+    trusted = [r for r in got if r.doc_id % 7 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.perplexity is not None]
+    cut = lambda x: sorted(x)[max(0, -(-len(x) // 2) - 1)]
+    own = {g: [r.perplexity for r in trusted if r.lang == g] for g in ("en", "de", "fr")}
+    assert len(own["en"]) >= 20 > len(own["de"])
+    for r in got:
+        want = cut(own["en"]) if r.lang == "en" else cut([r.perplexity for r in trusted])
+        assert r.threshold == pytest.approx(want) and r.keep == (r.perplexity is not None and r.perplexity <= r.threshold)
+
+
 def test_frequent_words_are_bounded(spark):
     docs = spark.createDataFrame([("a a a b b c",), ("x b a",), (None,)], "text string")
     assert bpe.frequent_words(docs, n=1) == [] and bpe.frequent_words(docs, n=2) == [" a", " b"] and bpe.frequent_words(docs.limit(0)) == []
