@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def ordered(*keys: str, by: str = "seq") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(by)
+def ordered(*keys: str, by: str = "seq", then: str | None = None) -> WindowSpec:
+    """Rows of the keys in order. back is the same in reverse: what lies ahead is there a running frame, which costs each row once, where
+    a frame up to the last row would be gone through anew for each."""
+    names = [by] if then is None else [by, then]
+    win = Window.partitionBy(*keys).orderBy(*names)
+    win.back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in names])
+    return win
 
 
 def centred(win: WindowSpec, w: int) -> WindowSpec:
@@ -40,9 +45,9 @@ def median_filter(v: str, win: WindowSpec, k: int = 11) -> Column:
 
 
 def known(v: str, win: WindowSpec, at: str = "seq") -> tuple[Column, Column]:
-    """Structs (at, v) of the last known sample up to here and of the first from here on."""
-    one = F.when(F.col(v).isNotNull(), F.struct(F.col(at).alias("at"), F.col(v).alias("v")))
-    return F.last(one, True).over(win.rowsBetween(Window.unboundedPreceding, 0)), F.first(one, True).over(win.rowsBetween(0, Window.unboundedFollowing))
+    """Structs (at, v) of the last known sample up to here and of the first from here on; win is ordered()."""
+    one = F.last(F.when(F.col(v).isNotNull(), F.struct(F.col(at).alias("at"), F.col(v).alias("v"))), True)
+    return tuple(one.over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (win, win.back))
 
 
 def between(before: Column, after: Column, at: Column) -> Column:
@@ -86,7 +91,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: str = "v")
     """left (keys, t, ...) with before and after: structs (at, v) of right's rows around t, by one sorted union rather than a range join."""
     names = [c for c in left.columns if c not in (*keys, "t")]
     side = lambda df, own: df.select(*keys, F.col("t").cast("double").alias("t"), *[(F.col(c) if own else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in names], (F.lit(None).cast("double") if own else F.col(value).cast("double")).alias("__v"), F.lit(int(own)).alias("__own"))
-    win = Window.partitionBy(*keys).orderBy("t", "__own")
+    win = ordered(*keys, by="t", then="__own")
     before, after = known("__v", win, "t")
     both = side(left, True).unionByName(side(right.where(F.col(value).isNotNull()), False))
     return both.withColumn("before", before).withColumn("after", after).where("__own = 1").drop("__v", "__own")

@@ -6,6 +6,7 @@ import json
 import math
 import time
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,33 +38,38 @@ def data_digest(samples: DataFrame) -> DataFrame:
 
 
 def documents(parts: dict[str, DataFrame]) -> dict[str, dict]:
-    """For each run the operator's result as a document. Results are findings about runs, not samples."""
+    """For each run the operator's result as a document. Results are findings about runs, not samples; all parts come in one job."""
     out: dict[str, dict] = {}
-    for name, df in parts.items():
-        by: dict[str, list] = {}
-        for row in df.collect():
-            d = row.asDict(recursive=True)
-            by.setdefault(d.pop("run_id"), []).append(d)
-        for run, rows in by.items():
-            rows = sorted(rows, key=canonical)
-            out.setdefault(run, {})[name] = rows
-            out[run][f"n_{name}"] = len(rows)
+    rows = [df.select("run_id", F.lit(name).alias("part"), F.to_json(F.struct(*[c for c in df.columns if c != "run_id"]), {"ignoreNullFields": "false"}).alias("row")) for name, df in parts.items()]
+    for r in reduce(DataFrame.unionByName, rows).groupBy("run_id", "part").agg(F.collect_list("row").alias("rows")).collect():
+        own = sorted((finite(json.loads(x)) for x in r.rows), key=canonical)
+        out.setdefault(r.run_id, {}).update({r.part: own, f"n_{r.part}": len(own)})
     return out
 
 
+def finite(row: dict) -> dict:
+    """NaN and infinities, which JSON has as words, become null."""
+    return {k: None if isinstance(v, str) and v in ("NaN", "Infinity", "-Infinity") else v for k, v in row.items()}
+
+
 class Ledger:
+    """Operator calls on all runs of tables, a row for each run and call; with path they are appended there as well."""
+
     def __init__(self, spark: SparkSession, tables: dict, path: str | None = None) -> None:
-        self.spark, self.tables, self.path, self.rows = spark, tables, path, []
+        self.spark, self.tables, self.path, self.rows = spark, prepared(spark, tables), path, []
         self.digests = {r.run_id: r.data_sha256 for r in data_digest(tables["samples"]).collect()}
+        self.counts = dict.fromkeys(self.digests, 0)
 
     def run(self, tool: str, **params) -> list[dict]:
         """Runs one operator over all runs and appends a row for each."""
         spec, began = registry.get(tool), time.perf_counter()
         found = documents(spec(self.tables, **params))
+        while held := self.tables.get("held"):
+            held.pop().unpersist()
         ms, made = (time.perf_counter() - began) * 1000, []
         for run in sorted(self.digests):
-            k = sum(r["run_id"] == run for r in self.rows) + 1
-            made.append({"run_id": run, "evidence_id": f"E{k}", "ordinal": k, "tool": tool, "params": canonical({k: v for k, v in params.items() if v is not None}), "result": canonical(found.get(run, {f"n_{tool}": 0})), "data_sha256": self.digests[run], "tool_version": spec.version, "elapsed_ms": ms, "created_at": datetime.now(UTC).isoformat(timespec="seconds")})
+            self.counts[run] += 1
+            made.append({"run_id": run, "evidence_id": f"E{self.counts[run]}", "ordinal": self.counts[run], "tool": tool, "params": canonical({k: v for k, v in params.items() if v is not None}), "result": canonical(found.get(run, {f"n_{tool}": 0})), "data_sha256": self.digests[run], "tool_version": spec.version, "elapsed_ms": ms, "created_at": datetime.now(UTC).isoformat(timespec="seconds")})
         self.rows += made
         if self.path:
             self.spark.createDataFrame(made, SCHEMA).write.mode("append").parquet(self.path)
@@ -73,6 +79,16 @@ class Ledger:
         return self.spark.createDataFrame(self.rows, SCHEMA)
 
 
+def prepared(spark: SparkSession, tables: dict) -> dict:
+    """tables with channels and phases, found once: they are a row for each channel and each run."""
+    out = dict(tables)
+    out["channels"] = registry.about(out)
+    if "phases" not in out:
+        phases = registry.phases_of(out)
+        out["phases"] = spark.createDataFrame(phases.collect(), phases.schema)
+    return out
+
+
 def reproduce(spark: SparkSession, tables: dict, evidence: DataFrame) -> list[dict]:
     """Runs every recorded call again: (run_id, evidence_id, exact, data_same, version_same)."""
     rows = evidence.orderBy("ordinal").collect()

@@ -19,6 +19,11 @@ WIDE = 16
 PHYSICAL_MINIMUM = {"psi": -14.7, "bar": -1.013, "kPa": -101.3, "MPa": -0.1013, "Pa": -101325.0, "degC": -273.15, "C": -273.15, "K": 0.0, "degF": -459.67}
 
 
+def plain_unit(unit: Column) -> Column:
+    """In small letters, without spaces, degrees spelt out."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(unit)), "℃", "degc"), "°", "deg")
+
+
 def describe_data(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*KEYS).agg(F.count("*").alias("n_samples"), (F.max("t") - F.min("t")).alias("duration_s"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.count_if(F.col("v").isNull()).alias("nan_samples"))
 
@@ -112,6 +117,47 @@ def segment_phases(samples: DataFrame, fs: float) -> DataFrame:
     )
 
 
+def run_phases(samples: DataFrame, kinds: DataFrame, fs: float) -> DataFrame:
+    """One row for each run: the phases of its firing in seconds, seen on its primary pressure (Pc, else the pressure that reaches highest),
+    or where that has no clear pulse, on the first force, then pressure, that has one (fallback_from says instead of which).
+
+    kinds: channel, kind. Runs without any pressure or force channel have no row.
+    """
+    wanted = F.broadcast(kinds.where(F.col("kind").isin("pressure", "force")).select("channel", "kind").distinct())
+    own = samples.join(wanted, "channel")
+    seg = segment_phases(own.select(samples.columns), fs)
+    about = own.groupBy(*KEYS).agg(F.first("kind").alias("kind"), F.max("v").alias("top"), F.max("t").alias("record_end_s"), F.max_by("v", "seq").alias("value_at_record_end"))
+    both = seg.join(about, KEYS)
+    primary = F.min(F.when(F.col("kind") == "pressure", F.struct((F.col("channel") != "Pc").alias("other"), (-F.col("top")).alias("low"), "channel"))).over(S.Window.partitionBy("run_id"))
+    both = both.withColumn("primary", F.coalesce(primary["channel"], F.min("channel").over(S.Window.partitionBy("run_id"))))
+    rank = F.when(F.col("channel") == F.col("primary"), F.when(F.col("fired"), 0).otherwise(3)).when(F.col("fired") & (F.col("kind") == "force"), 1).when(F.col("fired"), 2).otherwise(4)
+    best = both.withColumn("rank", rank).groupBy("run_id").agg(F.min_by(F.struct(*both.columns), F.struct("rank", "channel")).alias("x")).select("x.*")
+    places = {"ignition_s": "i_ignition", "mainstage_start_s": "i_mainstage", "mainstage_end_s": "i_shutdown", "tail_off_end_s": "i_tail"}
+    at = best.select("run_id", "channel", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(i).alias("seq")) for n, i in places.items()]))).where("seq IS NOT NULL")
+    times = samples.join(F.broadcast(at), [*KEYS, "seq"]).groupBy("run_id").agg(*[F.max(F.when(F.col("name") == n, F.col("t"))).alias(n) for n in places])
+    out = best.join(times, "run_id", "left").withColumn("fallback_from", F.when(F.col("channel") != F.col("primary"), F.col("primary")))
+    return out.select("run_id", "channel", "fallback_from", "fired", "steady_level", "baseline", "record_ends_during_firing", "record_end_s", "value_at_record_end", *places, "tail_off_end_by", (F.col("mainstage_end_s") - F.col("mainstage_start_s")).alias("mainstage_duration_s"))
+
+
+def phase_windows(phases: DataFrame) -> DataFrame:
+    """(run_id, phase, t_lo, t_hi) of run_phases(): pre_test, startup, mainstage, shutdown, post_test, or no_firing over everything."""
+    edges = [("pre_test", F.lit(float("-inf")), "ignition_s"), ("startup", "ignition_s", "mainstage_start_s"), ("mainstage", "mainstage_start_s", "mainstage_end_s"), ("shutdown", "mainstage_end_s", "tail_off_end_s"), ("post_test", "tail_off_end_s", F.lit(float("inf")))]
+    one = lambda name, a, b: F.struct(F.lit(name).alias("phase"), (F.col(a) if isinstance(a, str) else a).alias("t_lo"), (F.col(b) if isinstance(b, str) else b).alias("t_hi"))
+    five = F.array(*[one(*e) for e in edges])
+    return phases.select("run_id", F.inline(F.when(F.col("fired"), five).otherwise(F.array(one("no_firing", F.lit(float("-inf")), F.lit(float("inf")))))))
+
+
+def windowed(samples: DataFrame, phases: DataFrame | None = None, phase: str | None = None, t_start: float | None = None, t_end: float | None = None) -> DataFrame:
+    """The samples inside a window: of a phase, or between times (inclusive, an absent one is open). Runs that lack the phase have none."""
+    out = samples
+    if phase is not None and phases is not None:
+        own = phase_windows(phases).where(F.col("phase") == phase).drop("phase")
+        out = out.join(F.broadcast(own), "run_id").where(F.col("t").between(F.col("t_lo"), F.col("t_hi"))).select(samples.columns)
+    if t_start is not None:
+        out = out.where(F.col("t") >= t_start)
+    return out if t_end is None else out.where(F.col("t") <= t_end)
+
+
 def phase_table(segments: DataFrame) -> DataFrame:
     """(run_id, channel, name, i_start, i_stop) of the five phases, or one no_firing."""
     names = [("pre_test", F.lit(0).cast("long"), F.col("i_ignition")), ("startup", F.col("i_ignition"), F.col("i_mainstage")), ("mainstage", F.col("i_mainstage"), F.col("i_shutdown")), ("shutdown", F.col("i_shutdown"), F.col("i_tail")), ("post_test", F.col("i_tail"), F.lit(None).cast("long"))]
@@ -195,12 +241,13 @@ def valve_response(samples: DataFrame, pairs: DataFrame, fs: float) -> DataFrame
     moved = F.when(F.col("edge") == "open", F.col("f") > F.col("baseline") + F.col("threshold")).otherwise(F.col("f") < F.col("baseline") - F.col("threshold"))
     out = held.groupBy(*own).agg(F.min(F.when(moved & (F.col("seq") >= F.col("i_cmd")), F.col("seq"))).alias("i_response"), F.first("threshold").alias("detection_threshold"))
     latency = (F.col("i_response") - F.col("i_cmd")) / fs * 1000
+    out = out.withColumn("t_response", F.col("t_cmd") + (F.col("i_response") - F.col("i_cmd")) / fs)
     exceeds = F.col("max_latency_ms").isNotNull() & (F.col("i_response").isNull() | (latency > F.col("max_latency_ms")))
     return out.withColumn("latency_ms", latency).withColumn("exceeds_limit", exceeds)
 
 
-def thrust_pressure_ratio(samples: DataFrame, thrust: str, pressure: str, fs: float, max_change_pct: float = 50) -> DataFrame:
-    """How the ratio of two channels' pulses drifts over quarter-second windows of steady burning."""
+def thrust_pressure_ratio(samples: DataFrame, thrust: str, pressure: str, fs: float, max_change_pct: float = 50, phases: DataFrame | None = None) -> DataFrame:
+    """How the ratio of two channels' pulses drifts over quarter-second windows of steady burning. With phases (run_phases()) also within mainstage."""
     p = pulses(samples.where(F.col("channel").isin(thrust, pressure)), fs)
     pick = lambda ch, n: p.where(F.col("channel") == ch).select("run_id", "seq", "t", (F.col("xs") - F.col("base")).alias(n), F.col("rise").alias(f"rise_{n}"), F.col("clear").alias(f"clear_{n}"))
     both = pick(thrust, "f").join(pick(pressure, "p").drop("t"), ["run_id", "seq"])
@@ -213,7 +260,17 @@ def thrust_pressure_ratio(samples: DataFrame, thrust: str, pressure: str, fs: fl
         F.percentile("p", F.lit(0.5)).alias("pm"), F.percentile(F.try_divide("f", "p"), F.lit(0.5)).alias("ratio"), F.avg("t").alias("t"), F.min(F.col("clear_f") & F.col("clear_p")).alias("clear"),
     )
     kept = w.where((F.col("n") == n) & (F.col("on") > 0.9) & (F.abs(F.col("p1") - F.col("p0")) <= 0.15 * F.col("pm")) & F.col("clear"))
-    out = kept.groupBy("run_id").agg(F.count("*").alias("n_windows"), F.min_by("ratio", "t").alias("ratio_start"), F.max_by("ratio", "t").alias("ratio_end"), F.min("ratio").alias("ratio_min"), F.max("ratio").alias("ratio_max"), F.min("t").alias("t_first"), F.max("t").alias("t_last"))
+    main = F.lit(True)
+    if phases is not None:
+        kept = kept.join(F.broadcast(phases.select("run_id", "mainstage_start_s", "mainstage_end_s")), "run_id", "left")
+        main = F.col("t").between(F.col("mainstage_start_s"), F.col("mainstage_end_s"))
+    half = n / fs / 2
+    inner = F.when(main, F.col("ratio"))
+    out = kept.groupBy("run_id").agg(
+        F.count("*").alias("n_windows"), F.min_by("ratio", "t").alias("ratio_start"), F.max_by("ratio", "t").alias("ratio_end"), F.min("ratio").alias("ratio_min"), F.max("ratio").alias("ratio_max"),
+        F.min_by("t", "ratio").alias("t_ratio_min"), F.max_by("t", "ratio").alias("t_ratio_max"), F.min("t").alias("t_first"), F.max("t").alias("t_last"), (F.min("t") - half).alias("t_start"), (F.max("t") + half).alias("t_end"),
+        F.when(F.count(inner) >= 3, 100 * (F.max(inner) / F.nullif(F.min(inner), F.lit(0.0)) - 1)).alias("mainstage_change_pct"),
+    )
     change = F.when(F.col("ratio_min") <= 0, F.lit(float("inf"))).otherwise(100 * (F.col("ratio_max") / F.nullif("ratio_min", F.lit(0.0)) - 1))
     return out.withColumn("applicable", F.col("n_windows") >= 3).withColumn("change_pct", change).withColumn("consistent", ~F.col("applicable") | (change <= max_change_pct))
 
@@ -246,22 +303,35 @@ def dead_channels(samples: DataFrame) -> DataFrame:
 
 def impossible_values(samples: DataFrame, units: DataFrame, fs: float) -> DataFrame:
     """Channels (units: channel, unit) that lie below what their unit allows, by 1 % more, for half a second in all."""
-    low = units.sparkSession.createDataFrame(list(PHYSICAL_MINIMUM.items()), "unit string, physical_limit double")
-    df = samples.join(F.broadcast(units.join(F.broadcast(low), "unit")), "channel")
+    low = F.create_map(*[x for u, limit in PHYSICAL_MINIMUM.items() for x in (F.lit(u.lower()), F.lit(limit))])
+    known = units.select("channel", low[plain_unit(F.col("unit"))].alias("physical_limit")).where("physical_limit IS NOT NULL")
+    df = samples.join(F.broadcast(known), "channel")
     margin = F.col("physical_limit") - 0.01 * F.greatest(F.abs("physical_limit"), F.lit(1.0))
-    return df.groupBy(*KEYS, "physical_limit").agg(F.count_if(F.col("v") < margin).alias("n_below"), F.min("v").alias("min_value"), F.percentile("v", F.lit(0.5)).alias("median_value"), F.count("*").alias("n")).where(F.col("n_below") >= 0.5 * fs).withColumn("share_of_record_pct", 100 * F.col("n_below") / F.col("n"))
+    return df.groupBy(*KEYS, "physical_limit").agg(F.count_if(F.col("v") < margin).alias("n_below"), F.min("v").alias("min_value"), F.percentile("v", F.lit(0.5)).alias("median_value"), F.count("*").alias("n"), F.min("t").alias("t_start"), F.max("t").alias("t_end")).where(F.col("n_below") >= 0.5 * fs).withColumn("share_of_record_pct", 100 * F.col("n_below") / F.col("n"))
+
 
+def flatlines(samples: DataFrame, fs: float, native: float | None = None, merge_s: float = 0.1, firing: DataFrame | None = None) -> DataFrame:
+    """Runs of one value, long enough for the channel's native rate; runs of the same value less than merge_s apart are one.
 
-def flatlines(samples: DataFrame, fs: float, native: float | None = None, merge_s: float = 0.1) -> DataFrame:
-    """Runs of one value, long enough for the channel's native rate; runs of the same value less than merge_s apart are one."""
+    firing (run_id, fire_start, fire_end): of runs that fired, only what overlaps the firing long enough counts. at_channel_max and
+    at_channel_min say that the value is the channel's extreme, channel_max and channel_min which.
+    """
     win = S.ordered(*KEYS)
     least = max(int(0.05 * fs), -int(-3 * fs // (native or fs)), 3)
     b = samples.withColumn("b", S.bridge("v", win, max(int(0.1 * fs), 1)))
-    runs = S.islands(b.withColumn("same", F.col("b") == F.lag("b").over(win)), F.col("same"), KEYS, F.first("b").alias("value"))
+    b = b.withColumn("high", F.max("v").over(whole())).withColumn("low", F.min("v").over(whole()))
+    runs = S.islands(b.withColumn("same", F.col("b") == F.lag("b").over(win)), F.col("same"), KEYS, F.first("b").alias("value"), F.first("high").alias("high"), F.first("low").alias("low"))
     runs = runs.where(F.col("n") + 1 >= least).withColumn("t_start", F.col("t_start") - 1 / fs)
+    if firing is not None:
+        runs = runs.join(F.broadcast(firing.select("run_id", "fire_start", "fire_end")), "run_id", "left")
+        overlap = F.least("t_end", "fire_end") - F.greatest("t_start", "fire_start")
+        runs = runs.where(F.col("fire_start").isNull() | (overlap >= least / fs))
     again = S.ordered(*KEYS, by="t_start")
     parts = S.numbered_runs(runs, (F.col("value") != F.lag("value").over(again)) | (F.col("t_start") - F.lag("t_end").over(again) >= merge_s), again)
-    return parts.groupBy(*KEYS, "run").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.first("value").alias("stuck_value")).drop("run").withColumn("duration_s", F.col("t_end") - F.col("t_start"))
+    out = parts.groupBy(*KEYS, "run").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.first("value").alias("stuck_value"), F.first("high").alias("high"), F.first("low").alias("low")).drop("run")
+    top, bottom = F.col("stuck_value") == F.col("high"), F.col("stuck_value") == F.col("low")
+    extremes = [top.alias("at_channel_max"), bottom.alias("at_channel_min"), F.when(top, F.col("high")).alias("channel_max"), F.when(bottom, F.col("low")).alias("channel_min")]
+    return out.select(*KEYS, "t_start", "t_end", "stuck_value", (F.col("t_end") - F.col("t_start")).alias("duration_s"), *extremes)
 
 
 def spikes(samples: DataFrame, fs: float, native: float | None = None, sigmas: float = 12.0) -> DataFrame:
@@ -271,17 +341,25 @@ def spikes(samples: DataFrame, fs: float, native: float | None = None, sigmas: f
     df = samples.withColumn("f", S.fill_linear("v", win)).where(F.col("seq") % k == 0).withColumn("seq", F.floor(F.col("seq") / k).cast("long"))
     df = df.withColumn("med", S.median_filter("f", win, 11)).withColumn("res", F.abs(F.col("f") - F.col("med")))
     df = df.withColumn("whole", 1.4826 * F.percentile(F.when(F.col("res") > 0, F.col("res")), F.lit(0.5)).over(whole()))
-    df = df.withColumn("local", 1.4826 * S.roll_median("res", win, max(int(0.05 * fk), 11)))
+    w = max(int(0.05 * fk), 11)
+    # Sorting each of many wide frames anew costs their width: such series are taken whole, once.
+    df = df.withColumn("mid", S.roll_median("res", win, w)) if w <= WIDE else wide_median(df, "res", "mid", w)
+    df = df.withColumn("local", 1.4826 * F.col("mid"))
     df = df.withColumn("sigma", F.greatest("local", F.coalesce("whole", F.lit(0.0)), F.lit(1e-12)))
     near_gap = S.dilated(F.col("v").isNull(), win, int(0.01 * fk))
     df = df.withColumn("hot", (F.col("res") > sigmas * F.col("sigma")) & ~near_gap).withColumn("b", F.lag("f").over(win)).withColumn("a", F.lead("f").over(win))
     hot = df.where("hot")
-    groups = S.numbered_runs(hot, F.col("seq") - F.lag("seq").over(win) > max(int(0.005 * fk), 1), win)
-    best = groups.groupBy(*KEYS, "run").agg((F.max("seq") - F.min("seq") + 1).alias("width"), F.max_by(F.struct("seq", "t", "f", "med", "res", "sigma", "a", "b"), F.struct("res", -F.col("seq"))).alias("x"))
+    groups = S.numbered_runs(hot, F.col("seq") - F.lag("seq").over(win) > int(0.005 * fk) + 1, win)
+    best = groups.groupBy(*KEYS, "run").agg(
+        (F.max("seq") - F.min("seq") + 1).alias("width"), F.max_by(F.struct("seq", "t", "f", "med", "res", "sigma"), F.struct("res", -F.col("seq"))).alias("x"),
+        F.min_by(F.struct("b"), "seq")["b"].alias("b"), F.max_by(F.struct("a"), "seq")["a"].alias("a"),
+    )
     x = lambda c: F.col(f"x.{c}")
-    side = (x("f") > x("a")) & (x("f") > x("b")) | (x("f") < x("a")) & (x("f") < x("b"))
-    back = F.abs(x("f") - (x("a") + x("b")) / 2) >= 0.5 * x("res")
-    return best.where((F.col("width") <= 5) & side & back).select(*KEYS, x("seq").alias("seq"), x("t").alias("t"), x("f").alias("value"), x("med").alias("local_median"), (x("f") - x("med")).alias("deviation"), (x("res") / x("sigma")).alias("sigmas"))
+    # What stands before and after the whole spike lies on one side of it, and far enough; at the record's ends there is nothing to ask.
+    side = (x("f") > F.col("a")) & (x("f") > F.col("b")) | (x("f") < F.col("a")) & (x("f") < F.col("b"))
+    back = F.abs(x("f") - (F.col("a") + F.col("b")) / 2) >= 0.5 * x("res")
+    edge = F.col("a").isNull() | F.col("b").isNull()
+    return best.where((F.col("width") <= 5) & (edge | (side & back))).select(*KEYS, x("seq").alias("seq"), x("t").alias("t"), x("f").alias("value"), x("med").alias("local_median"), (x("f") - x("med")).alias("deviation"), (x("res") / x("sigma")).alias("sigmas"))
 
 
 def coincident_hits(found: DataFrame, families: DataFrame, reach: float = 0.02) -> DataFrame:
@@ -301,10 +379,15 @@ def coincident(found: DataFrame, families: DataFrame, reach: float = 0.02) -> Da
 
 
 def duplicate_channels(samples: DataFrame) -> DataFrame:
-    """Channels of identical samples, gaps included, that aren't constant. Compared by an order-free digest of all (seq, value), twice seeded."""
+    """Channels of identical samples, gaps included, that aren't constant: alike by two digests of all (seq, value), then compared value by value with the first of them."""
     part = lambda seed: F.sum(F.xxhash64(F.lit(seed), "seq", "v").cast("decimal(38,0)"))
     d = samples.groupBy(*KEYS).agg(part(1).alias("d1"), part(2).alias("d2"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
-    return d.groupBy("run_id", "d1", "d2", "n").agg(F.sort_array(F.collect_list("channel")).alias("channels")).where(F.size("channels") > 1).select("run_id", "channels", F.size("channels").alias("n_channels"))
+    alike = d.groupBy("run_id", "d1", "d2", "n").agg(F.sort_array(F.collect_list("channel")).alias("channels")).where(F.size("channels") > 1)
+    pairs = alike.select("run_id", F.col("channels")[0].alias("lead"), F.explode(F.slice("channels", 2, F.size("channels"))).alias("channel"))
+    own = samples.select(*KEYS, "seq", "v").join(F.broadcast(pairs), KEYS)
+    lead = samples.select("run_id", F.col("channel").alias("lead"), "seq", F.col("v").alias("u")).join(F.broadcast(pairs.select("run_id", "lead").distinct()), ["run_id", "lead"], "left_semi")
+    same = own.join(lead, ["run_id", "lead", "seq"], "left").groupBy("run_id", "lead", "channel").agg(F.bool_and(F.col("v").eqNullSafe(F.col("u"))).alias("same")).where("same")
+    return same.groupBy("run_id", "lead").agg(F.sort_array(F.collect_list("channel")).alias("rest")).select("run_id", F.concat(F.array("lead"), "rest").alias("channels"), (F.size("rest") + 1).alias("n_channels"))
 
 
 def no_return_to_baseline(samples: DataFrame, segments: DataFrame, fs: float, share: float = 0.25) -> DataFrame:

@@ -120,8 +120,8 @@ sg AS (SELECT rs.*, greatest(1.4826::DOUBLE * quantile_cont(res, 0.5) OVER (PART
   max(CASE WHEN v IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY rs.channel ORDER BY seq ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS ng FROM rs LEFT JOIN wh ON rs.channel = wh.channel WINDOW w AS (PARTITION BY rs.channel ORDER BY seq)),
 ht AS (SELECT *, CASE WHEN seq - lag(seq) OVER (PARTITION BY channel ORDER BY seq) <= 1 THEN 0 ELSE 1 END AS br FROM sg WHERE res > {SIGMAS}::DOUBLE * sigma AND ng = 0),
 gr AS (SELECT *, sum(br) OVER (PARTITION BY channel ORDER BY seq) AS run FROM ht),
-bs AS (SELECT channel, max(seq) - min(seq) + 1 AS width, arg_min(struct_pack(seq := seq, t := t, f := f, med := med, res := res, sigma := sigma, a := a, b := b), (-res, seq)) AS x FROM gr GROUP BY channel, run),
-sp AS (SELECT channel, x.seq AS seq, x.t AS t, x.f AS value, x.med AS med, x.f - x.med AS dev, x.res / x.sigma AS sig FROM bs WHERE width <= 5 AND ((x.f > x.a AND x.f > x.b) OR (x.f < x.a AND x.f < x.b)) AND abs(x.f - (x.a + x.b) / 2) >= 0.5::DOUBLE * x.res)"""
+bs AS (SELECT channel, max(seq) - min(seq) + 1 AS width, arg_min(struct_pack(seq := seq, t := t, f := f, med := med, res := res, sigma := sigma), (-res, seq)) AS x, arg_min(struct_pack(y := b), seq).y AS b, arg_max(struct_pack(y := a), seq).y AS a FROM gr GROUP BY channel, run),
+sp AS (SELECT channel, x.seq AS seq, x.t AS t, x.f AS value, x.med AS med, x.f - x.med AS dev, x.res / x.sigma AS sig FROM bs WHERE width <= 5 AND (a IS NULL OR b IS NULL OR ((x.f > a AND x.f > b) OR (x.f < a AND x.f < b)) AND abs(x.f - (a + b) / 2) >= 0.5::DOUBLE * x.res))"""
 
 
 @query(f"WITH {SPIKES} SELECT channel, seq, round(value, 6) AS value, round(med, 6) AS local_median, round(dev, 6) AS deviation, round(sig, 6) AS sigmas FROM sp")

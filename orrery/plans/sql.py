@@ -2,7 +2,7 @@
 
 EV = """ev AS (SELECT event_type AS channel, CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS BIGINT) AS seq,
   CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS v FROM events GROUP BY 1, 2),
-s AS (SELECT c.channel, g.seq, g.seq * 3600.0::DOUBLE AS t, ev.v FROM (SELECT DISTINCT event_type AS channel FROM events) c CROSS JOIN (SELECT unnest(range(720)) AS seq) g
+s AS (SELECT c.channel, g.seq, g.seq * 3600.0::DOUBLE AS t, ev.v FROM (SELECT DISTINCT event_type AS channel FROM events) c CROSS JOIN (SELECT unnest(range((SELECT min(seq) FROM ev), (SELECT max(seq) FROM ev) + 1)) AS seq) g
   LEFT JOIN ev ON ev.channel = c.channel AND ev.seq = g.seq)"""
 
 #: s with neighbours' known samples and f, filled linearly.

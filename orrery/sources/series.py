@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOURS = 720
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,10 +16,12 @@ def exact_mean(value: str) -> F.Column:
 
 
 def hourly_events(spark: SparkSession, sf_dir: str, run: str = "all") -> DataFrame:
-    """Channels are event types; v the mean value of each hour of 30 days."""
-    events = table(spark, sf_dir, "events").select("event_type", "value", F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").alias("seq"))
+    """Channels are event types; v the mean value of each hour, from the first hour of any event to the last. seq counts hours since 2024-01-01."""
+    events = table(spark, sf_dir, "events").select("event_type", "value", F.floor(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 3_600_000_000).alias("seq"))
     means = events.groupBy(F.col("event_type").alias("channel"), "seq").agg(exact_mean("value").alias("v"))
-    grid = events.select(F.col("event_type").alias("channel")).distinct().withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))))
+    # The grid follows from the means, a row for each channel and hour: their span and channels are one small row.
+    span = means.agg(F.collect_set("channel").alias("channels"), F.sequence(F.min("seq"), F.max("seq")).alias("hours"))
+    grid = span.select(F.explode("channels").alias("channel"), "hours").select("channel", F.explode("hours").alias("seq"))
     return grid.join(means, ["channel", "seq"], "left").select(F.lit(run).alias("run_id"), "channel", "seq", (F.col("seq") * 3600.0).alias("t"), "v")
 
 
