@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set (tests), a temporary one becomes it."""
+    """The folder that spark.checkpoint.dir names. Only where none is set and all runs on one machine (tests), a temporary one becomes it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -63,22 +66,35 @@ def chunks(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+def kept_names(keep: list[str], results: list[str]) -> list[str]:
+    """Names of the kept columns beside results: one that a result has too (in capitals or not) gets `_source` appended."""
+    out: list[str] = []
+    for c in keep:
+        taken = {x.lower() for x in [*results, *out]}
+        while c.lower() in taken:
+            c += "_source"
+        out.append(c)
+    return out
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, fields: str, make: Callable[[], Callable[[list], tuple]], limit: int = CHUNK_BYTES) -> DataFrame:
-    """The columns keep and those of fields (DDL), computed from the whole text of each row.
+    """The columns keep (as kept_names() calls them) and those of fields (DDL), computed from the whole text of each row.
 
     make() is called once in each task and returns a function from a list of texts (UTF-8 bytes, None for null) to one
     sequence per field. Memory is bounded by limit and by the longest text, whatever the partition holds.
     """
     new = T._parse_datatype_string(fields)
-    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + new.fields)
-    made = to_arrow_schema(new)
+    schema = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField(f"r{i}", f.dataType) for i, f in enumerate(new.fields)])
+    made, names = to_arrow_schema(new), schema.names
+    n = len(keep)
 
     def run(batches):
         work = make()
         for batch in batches:
-            for part in chunks(batch, len(keep), limit):
-                columns = work(part.column(len(keep)).to_pylist())
-                arrays = [part.column(i) for i in range(len(keep))] + [x if isinstance(x, pa.Array) else pa.array(x, made.field(i).type) for i, x in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
+            for part in chunks(batch, n, limit):
+                columns = work(part.column(n).to_pylist())
+                arrays = [part.column(i) for i in range(n)] + [x if isinstance(x, pa.Array) else pa.array(x, made.field(i).type) for i, x in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(run, schema)
+    found = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("binary").alias("text")).mapInArrow(run, schema)
+    return found.toDF(*kept_names(keep, new.names), *new.names)

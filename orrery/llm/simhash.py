@@ -84,8 +84,14 @@ def small_forest(fps: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def large_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """As small_forest(); all values descend the BK-tree together, each node takes its distances at once."""
+def apart(fps: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Differing bits of each fingerprint of fps, one word or a row of words each, and p."""
+    bits = np.bitwise_count(fps ^ p)
+    return bits if bits.ndim == 1 else bits.sum(1, dtype=np.int64)
+
+
+def tree_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links (places in fps) of a spanning forest; all values descend the BK-tree together, each node takes its distances at once."""
     label = np.arange(len(fps))
     links = []
     # A node's value is the first of its members; those that come later descend into the ring of their distance.
@@ -94,16 +100,18 @@ def large_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     while todo:
         members, visitors = todo.pop()
         p, rest = members[0], members[1:]
-        if len(visitors) and (label[members] == label[p]).all():
+        if (label[members] == label[p]).all():
             visitors = visitors[label[visitors] != label[p]]  # what is linked already needs no search
-        d_rest, d_visit = (np.bitwise_count(fps[x] ^ fps[p]) for x in (rest, visitors))
+            if not len(visitors):
+                continue
+        d_rest, d_visit = (apart(fps[x], fps[p]) for x in (rest, visitors))
         near = np.concatenate([rest[d_rest <= radius], visitors[d_visit <= radius]])
         if len(near):
             labels, first = np.unique(label[near], return_index=True)
-            for x, i in zip(labels.tolist(), first.tolist()):
-                if x != label[p]:
-                    links.append((int(fps[p]), int(fps[near[i]])))
-                    label[label == x] = label[p]
+            fresh = labels != label[p]
+            if fresh.any():
+                links += [(int(p), int(near[i])) for i in first[fresh].tolist()]
+                label[np.isin(label, labels[fresh])] = label[p]
         if not len(rest):
             continue
         order = np.argsort(d_rest, kind="stable")
@@ -115,6 +123,11 @@ def large_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def large_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """As small_forest(), by tree_links()."""
+    return [(int(fps[a]), int(fps[b])) for a, b in tree_links(fps, radius)]
+
+
 def shard_links(shards: DataFrame, radius: int, small: int = 48) -> DataFrame:
     """Links (a, b) of every shard; shards has columns shard, fp, and comes sorted by shard within its partitions."""
 
@@ -168,10 +181,11 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 6, shard_limit: in
     return shard_links(dealt.repartition(n, "shard").sortWithinPartitions("shard"), radius).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node it is connected to.
 
-    Large-star and small-star steps in turn; each round is written to the checkpoint folder.
+    Large-star and small-star steps in turn, until no link changes; each round is written to the checkpoint folder. Links never
+    lead to larger roots, so the rounds end, however long a chain is.
     """
 
     def total(df: DataFrame) -> tuple:
@@ -183,17 +197,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = checkpoint(e), None
-    for _ in range(rounds):
-        if (now := total(e)) == before or not now[0]:
-            break
+    while (now := total(e)) != before and now[0]:
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v")
         e = checkpoint(small.where("u <> v").distinct())
-    else:
-        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -220,6 +230,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return found.select(F.col("__id").alias(doc_id), F.col("__fp").alias("fp"), F.col("__component").alias("component_id"))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row; xxhash64 passes nulls over, so which columns are null enters it too."""
+    return F.xxhash64(*df.columns, *[F.col(c).isNull() for c in df.columns])
+
+
 def one_of_each(rows: DataFrame, found: DataFrame, own: str) -> DataFrame:
     """The row of rows (with __row, a hash of the whole row) of the smallest id in each __root of found (__id, __row, __root); of equal rows one."""
     first = F.min(F.struct("__id", "__row", "n")).alias("one")
@@ -232,7 +247,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     """One row of each component of docs: that of the smallest doc_id (nulls first), and of rows that are equal in every column one."""
     safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own, body = (f"c{docs.columns.index(c)}" for c in (doc_id, text))
-    safe = safe.withColumn("__row", F.xxhash64(*safe.columns))
+    safe = safe.withColumn("__row", row_hash(safe))
     found = clusters(safe, ["__row"], own, body, k, radius, blocks, shard_limit)
     return one_of_each(safe, found, own).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

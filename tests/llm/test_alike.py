@@ -51,11 +51,11 @@ def corpus(n=150, seed=4):
     return list(enumerate([*rows, None, "", " \n", "a b", "A  b"]))
 
 
-@pytest.mark.parametrize("shard_limit", [alike.SHARD_LIMIT, 3000])
-def test_stays_what_brute_force_keeps(spark, shard_limit):
+@pytest.mark.parametrize("shard_limit, crowded", [(alike.SHARD_LIMIT, alike.CROWDED), (3000, 20)])
+def test_stays_what_brute_force_keeps(spark, shard_limit, crowded):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
-    got = sorted(r.doc_id for r in alike.deduplicate(docs, shard_limit=shard_limit).collect())
+    got = sorted(r.doc_id for r in alike.deduplicate(docs, shard_limit=shard_limit, crowded=crowded).collect())
     assert got == kept(rows)
 
 

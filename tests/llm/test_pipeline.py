@@ -7,7 +7,8 @@ import pytest
 from orrery.llm import bpe, toxicity
 from pyspark.sql import functions as F
 
-from test_llm import contaminated, fingerprint  # noqa: F401
+from test_alike import kept
+from test_llm import contaminated
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,20 +40,10 @@ def test_toxic_documents_go(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
+    """Against all pairs of whole texts: the smallest id of each component over 5-word shingles alike to 0.8 or more; of equal rows one."""
     before, after = (x.collect() for x in stages[1])
-    from orrery.llm.simhash import fingerprint as fp
-
-    prints = {f % (1 << 64) for f in (fp(r.text.encode() if r.text is not None else None, 5) for r in before)}
-    left, n = set(prints), 0
-    while left:
-        todo = [left.pop()]
-        n += 1
-        while todo:
-            a = todo.pop()
-            near = {b for b in left if (a ^ b).bit_count() <= 8}
-            left -= near
-            todo += near
-    assert len(after) == n and set(map(str, after)) <= set(map(str, before))
+    ids = kept([(-1 if r.doc_id is None else r.doc_id, r.text) for r in before])
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in after) == ids and set(map(str, after)) <= set(map(str, before))
 
 
 def test_contaminated_documents_go(spark, stages):
