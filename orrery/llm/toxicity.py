@@ -1,8 +1,9 @@
 """Toxicity: a convolutional text classifier, trained in numpy.
 
-Words have embeddings: those of enough training texts a row each, all others share hashed rows. Filters of several widths
-run over the whole text, the maximum of each goes into a logistic output. Its threshold is calibrated for each language;
-the language of a text is estimated from its words, so that nothing but the text enters a score.
+Words are hashed to 32 bits, and hashes to rows of embeddings: those of fewer than LEAST fitted texts have none and say nothing, as
+a maximum over a long text would meet every collision in a small table. Filters of several widths run over the whole text, the
+maximum of each goes into a logistic output. It is fitted on a sample of the labelled rows and calibrated on all others: each language has the threshold of
+the fewest errors. The language of a text is estimated from its words, so that nothing but the text enters a score.
 """
 
 from __future__ import annotations
@@ -18,18 +19,13 @@ from .common import map_texts, table
 from .decontaminate import words
 from .langid import held_out
 
-#: Bounds of the labelled sample that is fitted: rows of each label, and characters of a text in it.
-POSITIVE, NEGATIVE, LONGEST = 3000, 5000, 60_000
-WIDTHS, FILTERS, DIM, SHARED, LEAST = (1, 2, 3), 8, 8, 1024, 3
+#: Bounds of the labelled sample that is fitted: rows of each label, and characters of its texts together.
+POSITIVE, NEGATIVE, CHARACTERS = 3000, 5000, 48_000_000
+WIDTHS, FILTERS, DIM, LEAST = (1, 2, 3), 8, 8, 3
 PAD = max(WIDTHS)
 BLOCK = 1 << 16
-
-
-class Rows(dict):
-    """Rows of known words; another word's is hashed."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 1 + zlib.crc32(word) % SHARED
+#: Steps of a score in which errors are counted for calibration.
+STEP, LIMIT = 0.02, 30
 
 
 class Model:
@@ -37,7 +33,7 @@ class Model:
 
     def __init__(self, seed: int = 11) -> None:
         self.random = np.random.default_rng(seed)
-        self.rows = Rows()
+        self.hashes = np.zeros(0, np.uint32)
         self.languages: list[str] = []
         self.fitted = False
 
@@ -47,11 +43,17 @@ class Model:
         n = np.array([len(t) for t in tokens], np.int64)
         starts = np.cumsum(n + PAD) - n - PAD
         flat = np.zeros(int((n + PAD).sum()) + PAD, np.int64)
-        at = self.rows.__getitem__
         for t, s in zip(tokens, starts.tolist()):
-            flat[s : s + len(t)] = np.fromiter(map(at, t), np.int64, len(t))
+            flat[s : s + len(t)] = self.rows(np.fromiter(map(zlib.crc32, t), np.uint32, len(t)))
         return flat, starts, n
 
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, 0 for those that have none."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at + 1, 0)
+
     def convolve(self, x: np.ndarray) -> list[np.ndarray]:
         m = len(x) - PAD
         return [sum(x[j : j + m] @ w[j] for j in range(len(w))) for w in self.filters]
@@ -73,7 +75,7 @@ class Model:
         return out
 
     def language(self, flat: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The index of each text's language, by its known words."""
+        """The index of each text's language, by its words."""
         sums = [np.add.reduceat(column[flat], starts, dtype=np.float64) for column in self.language_logs]
         return np.argmax(np.stack(sums, 1), 1)
 
@@ -87,43 +89,40 @@ class Model:
         z, language = self.logits(texts)
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64) - self.threshold[language], -30, 30)))
 
-    def fit(self, texts: list[bytes], toxic: list[int], langs: list[str | None], weight: float = 1.0, epochs: int = 4, least_rows: int = 12_000, batch: int = 32, rate: float = 0.05) -> Model:
-        """weight: how many rows a row of label 0 stands for, when one of label 1 stands for one. A small sample is
-        passed over more often, until least_rows rows have been seen."""
+    def fit(self, texts: list[bytes], toxic: list[int], langs: list[str | None], epochs: int = 4, least_rows: int = 12_000, batch: int = 32, rate: float = 0.05) -> Model:
+        """A small sample is passed over more often, until least_rows rows have been seen. Thresholds stay at 0 until calibrate()."""
         y = np.array(toxic)
         if not 0 < y.sum() < len(y):
             return self
-        df: dict[bytes, list[int]] = {}
-        for t, label in zip(texts, toxic):
-            for w in set(words(t)):
-                df.setdefault(w, [0, 0])[label] += 1
-        df = {w: c for w, c in df.items() if sum(c) >= LEAST}
-        known = sorted(df)
-        self.rows = Rows({w: 1 + SHARED + i for i, w in enumerate(known)})
-        size = 1 + SHARED + len(known)
+        found, times = np.unique(np.concatenate([np.unique(np.fromiter(map(zlib.crc32, words(t)), np.uint32)) for t in texts]), return_counts=True)
+        self.hashes = found[times >= LEAST]
+        size = 1 + len(self.hashes)
         self.embedding = (self.random.standard_normal((size, DIM)) * 0.1).astype(np.float32)
-        # Where the words' documents differ by label, the first dimension starts at their log-odds, shrunk for rare words.
-        c = np.array([df[w] for w in known], float).reshape(-1, 2)
-        odds = np.log((c[:, 1] + 0.5) / (y.sum() + 1)) - np.log((c[:, 0] + 0.5) / (len(y) - y.sum() + 1))
-        self.embedding[1 + SHARED :, 0] = odds * c.sum(1) / (c.sum(1) + 20)
         self.embedding[0] = 0
         self.filters = [(self.random.standard_normal((w, DIM, FILTERS)) * 0.2).astype(np.float32) for w in WIDTHS]
-        for w in self.filters:
-            w[0, 0] = np.abs(w[0, 0]) + 0.3
         self.out, self.bias = np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), np.float32(-1)
 
         tokens = [(flat.astype(np.int32), starts, n) for flat, starts, n in (self.ids([t]) for t in texts)]
         self.languages = sorted({x for x in langs if x is not None}) or [""]
-        logs = np.full((len(self.languages), size), 0.5)
-        for (flat, _, (n,)), x in zip(tokens, langs):
+        logs, seen = np.full((len(self.languages), size), 0.5), np.zeros((2, size))
+        for (flat, _, (n,)), x, label in zip(tokens, langs, toxic):
+            own = np.unique(flat[:n])
+            seen[label, own] += 1
             if x is not None:
-                logs[self.languages.index(x), np.unique(flat[:n])] += 1
-        logs[:, : 1 + SHARED] = 1  # padding and shared rows say nothing
-        logs[:, 1 + SHARED :] /= logs[:, 1 + SHARED :].sum(1, keepdims=True) if len(known) else 1
+                logs[self.languages.index(x), own] += 1
+        logs[:, 0] = 0
+        logs /= np.maximum(logs.sum(1, keepdims=True), 1)
+        logs[:, 0] = 1  # padding and words without a row say nothing
         self.language_logs = np.log(logs).astype(np.float32)
+        self.threshold = np.zeros(len(self.languages))
+        # Training starts where hashes' texts differ by label: their first dimension at the log-odds, shrunk where texts are few, and the
+        # filters' first tap on it. From noise alone maxima show each text few words to learn from (README has the figures).
+        odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / (len(y) - y.sum() + 1))
+        self.embedding[1:, 0] = (odds * seen.sum(0) / (seen.sum(0) + 20))[1:]
+        for w in self.filters:
+            w[0, 0] = np.abs(w[0, 0]) + 0.3
 
-        order = self.random.permutation(len(y))
-        judge, learn = order[: len(y) // 5], order[len(y) // 5 :]
+        learn = np.arange(len(y))
         speed = [np.full(a.shape, 1e-3, np.float32) for a in (self.embedding, *self.filters, self.out)]
         balance = max(1.0, (len(y) - y.sum()) / y.sum())
 
@@ -163,61 +162,91 @@ class Model:
                 np.add.at(total, place, np.concatenate(d_rows))
                 step(0, self.embedding, total + 1e-4 * self.embedding[which], which)
                 self.embedding[0] = 0
-        self.calibrate([texts[i] for i in judge], y[judge], weight)
         self.fitted = True
         return self
 
-    def calibrate(self, texts: list[bytes], y: np.ndarray, weight: float, least: int = 20) -> None:
-        """For each language, the threshold of the fewest errors on rows that training didn't see; all rows together where one has too few."""
-
-        def cut(z: np.ndarray, y: np.ndarray) -> float:
-            order = np.argsort(z)
-            z, y = z[order], y[order]
-            errors = np.concatenate([[0], np.cumsum(y == 1)]) + weight * np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
-            at = np.flatnonzero(errors == errors.min())
-            i = int(at[len(at) // 2])
-            return float((z[max(i - 1, 0)] + z[min(i, len(z) - 1)]) / 2)
-
-        z, language = (np.concatenate(x) for x in zip(*[self.logits(texts[i : i + 64]) for i in range(0, len(texts), 64)])) if texts else (np.zeros(0), np.zeros(0, int))
-        both = lambda own: 0 < y[own].sum() < own.sum()
-        common = cut(z, y) if len(y) and both(np.ones(len(y), bool)) else 0.0
-        self.threshold = np.full(len(self.languages), common)
+    def calibrate(self, judged: list[tuple[int, int, int, float]], least: int = 20) -> None:
+        """judged: (language, step, label, weight) summed over rows that training didn't see. For each language the threshold of the
+        fewest errors; that of all rows together where fewer than least toxic ones are judged."""
+        if not judged:
+            return
+        language, step, label, weight = (np.array(c) for c in zip(*judged))
+
+        def cut(own: np.ndarray) -> float | None:
+            steps = np.arange(step.min(), step.max() + 2)
+            toxic, fine = (np.bincount(step[own & (label == k)] - steps[0], weight[own & (label == k)], len(steps)) for k in (1, 0))
+            if not toxic.any() or not fine.any():
+                return None
+            errors = np.cumsum(toxic) - toxic + np.cumsum(fine[::-1])[::-1]  # of a threshold below each step
+            at = np.flatnonzero(errors <= errors.min() * (1 + 1e-9))
+            # Of the first run of best places the middle: as far from either label as can be.
+            run = at[: int(np.flatnonzero(np.append(np.diff(at) > 1, True))[0]) + 1]
+            return float(steps[run[len(run) // 2]] * STEP)
+
+        common = cut(np.ones(len(step), bool))
         for l in range(len(self.languages)):
             own = language == l
-            if own.any() and both(own) and y[own].sum() >= least:
-                self.threshold[l] = cut(z[own], y[own])
+            found = cut(own) if weight[own & (label == 1)].sum() >= least else None
+            self.threshold[l] = found if found is not None else common if common is not None else 0.0
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", positive: int = POSITIVE, negative: int = NEGATIVE, longest: int = LONGEST) -> tuple[pa.Table, float]:
-    """At most about positive and negative rows (text, toxic, lang) of each label, chosen by a hash, and the rows that one of label 0 stands for.
+def known_labels(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """(__id, toxic): of a document's several labels the largest; nulls are left out."""
+    return labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("__id")).agg(F.max(F.col(f"`{label}`")).cast("int").alias("toxic"))
 
-    Labels that are null are left out; of a document's several labels the largest holds. Texts that are null or longer than longest characters aren't fitted.
-    """
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
-    n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = {k: min(1.0, most / max(n.get(k, 0), 1)) for k, most in ((1, positive), (0, negative))}
-    lot = F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1_000_000))
-    chosen = known.where(lot < F.when(F.col("toxic") == 1, int(share[1] * 1e6)).otherwise(int(share[0] * 1e6))).limit(2 * (positive + negative))
-    rows = docs.where(F.col(f"`{text}`").isNotNull() & (F.length(f"`{text}`") <= longest)).join(F.broadcast(chosen), F.col(f"`{doc_id}`") == F.col("__id"))
-    got = rows.select("__id", F.col(f"`{text}`").cast("binary").alias("text"), "toxic", F.col(f"`{lang}`").cast("string").alias("lang")).limit(4 * (positive + negative)).toArrow()
-    return got.sort_by([("__id", "ascending")]), share[1] / share[0]
 
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", positive: int = POSITIVE, negative: int = NEGATIVE, characters: int = CHARACTERS) -> Model:
+    """A model fitted on at most about positive and negative rows of each label, and about so many characters of text, chosen by a
+    hash of the id and whatever their length; calibrated on all other labelled rows, or on a fifth where the sample could take all.
 
-def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    rows, weight = sample(docs, labels, **options)
-    texts, toxic, langs = (rows.column(c).to_pylist() for c in ("text", "toxic", "lang"))
-    del rows
-    return Model().fit(texts, toxic, langs, weight)
+    Rows whose text is null don't teach. A doc_id that is repeated with the same text counts once.
+    """
+    known = known_labels(labels, doc_id, label).withColumn("lot", F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 30)) / (1 << 30))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("binary").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("text IS NOT NULL")
+    # Ids, lengths, labels and scores are joined; texts never move but for the sample's, whose ids are bounded by its parameters.
+    sizes = {r.toxic: (r.n, r.size) for r in rows.select("__id", F.length("text").alias("size")).join(known, "__id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    share = {k: min(0.8, most / max(sizes.get(k, (0, 0))[0], 1)) for k, most in ((1, positive), (0, negative))}
+    asked = sum(share[k] * sizes[k][1] for k in (0, 1) if k in sizes)
+    share = {k: x * min(1.0, characters / max(asked, 1)) for k, x in share.items()}
+    chosen = F.col("lot") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    # One row for each id and text, so that repeated rows can't fill the sample.
+    got = rows.join(F.broadcast(known.where(chosen)), "__id").groupBy("__id", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"), F.min("lang").alias("lang"))
+    got = got.select("__id", "key", "text", "toxic", "lang").toArrow().sort_by([("__id", "ascending"), ("key", "ascending")])
+    texts, toxic, langs = (got.column(c).to_pylist() for c in ("text", "toxic", "lang"))
+    del got
+    model = Model().fit(texts, toxic, langs)
+    del texts
+    if model.fitted:
+        judged = judge(rows, model).join(known.where(~chosen), "__id")
+        weight = F.when(F.col("toxic") == 1, 1 / (1 - share[1])).otherwise(1 / (1 - share[0]))
+        counts = judged.groupBy("language", "step", "toxic").agg(F.sum(weight).alias("weight"))
+        model.calibrate([tuple(r) for r in counts.collect()])
+    return model
+
+
+def judge(rows: DataFrame, model: Model) -> DataFrame:
+    """__id, and the estimated language and the step of the score of each row, by the model as it is before calibration."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        def work(texts):
+            z, language = shared.value.logits(texts) if texts else (np.zeros(0), np.zeros(0, int))
+            return language, np.floor(np.clip(z, -LIMIT, LIMIT) / STEP).astype(int)
+
+        return work
+
+    return map_texts(rows, ["__id"], "text", "language int, step int", make)
 
 
 def classify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep and score (0 to 1) of the whole text; null and empty texts are scored as texts without words."""
+    """The columns keep and score (0 to 1) of the whole text; null and empty texts are scored as texts without words. Equal texts score
+    alike, repeated rows stay; without labelled rows of both kinds every score is 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, keep, text, "score double", lambda: lambda texts: (shared.value.score(texts),))
 
 
 def remove_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without those that score threshold or more; columns and other rows stay as they are."""
+    """docs without those that score threshold or more; columns, whatever their names, and other rows stay as they are."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     scored = classify(docs.toDF(*names), model, names, names[docs.columns.index(text)])
     return scored.where(F.col("score") < threshold).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
