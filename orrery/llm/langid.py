@@ -1,24 +1,23 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts come from all training texts; the matrix of log-probabilities (languages x buckets) is broadcast, and batches are
-scored by gathering its columns at the buckets of each text's n-grams.
+Counts come from all training texts; the matrix of log-probabilities (languages x buckets) is broadcast in blocks of
+languages, and batches are scored by gathering its columns at the buckets of each text's n-grams.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, map_texts, table
+from .common import CHUNK_BYTES, chunks, map_texts, remove, table, written
 
-#: Lengths of n-grams, buckets for each length, and the most languages that a matrix is made for (it bounds the broadcast).
-LENGTHS, BUCKETS, MOST_LANGUAGES = (1, 2, 3), 1 << 15, 500
+#: Lengths of n-grams, buckets for each length, and languages of a block: it is collected and broadcast at once, 0.4 MB a language.
+LENGTHS, BUCKETS, BLOCK = (1, 2, 3), 1 << 15, 64
 PIECE = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 MIX = np.uint32(2654435761)
 UNKNOWN = "und"
 
@@ -94,50 +93,63 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
 
 class Model:
-    """languages, in order, and scores: a row of log-probabilities for each, with the log prior beside."""
+    """A block of languages, in order, and scores: a row of log-probabilities for each, with the log prior beside."""
 
-    def __init__(self, rows: pa.Table, smoothing: float = 0.5) -> None:
+    def __init__(self, rows: pa.Table, total: int, smoothing: float = 0.5) -> None:
+        """rows: (lang, bucket, n) of the block's languages; total: training texts of all languages."""
         names, at, n = (rows.column(c) for c in ("lang", "bucket", "n"))
         self.languages = sorted(set(names.to_pylist()))
-        if len(self.languages) > MOST_LANGUAGES:
-            raise ValueError(f"{len(self.languages)} languages; a matrix is made for {MOST_LANGUAGES} at most")
         index = {x: i for i, x in enumerate(self.languages)}
         which, at, n = np.array([index[x] for x in names.to_pylist()], np.int64), at.to_numpy(), n.to_numpy()
         grid = np.zeros((len(self.languages), len(LENGTHS) * BUCKETS + 1))
         grid[which, at] = n  # -1 is the last column
-        total = np.maximum(grid[:, :-1].reshape(len(self.languages), len(LENGTHS), BUCKETS).sum(2, keepdims=True), 1)
-        logs = np.log((grid[:, :-1].reshape(len(self.languages), len(LENGTHS), BUCKETS) + smoothing) / (total + smoothing * BUCKETS))
+        sums = np.maximum(grid[:, :-1].reshape(len(self.languages), len(LENGTHS), BUCKETS).sum(2, keepdims=True), 1)
+        logs = np.log((grid[:, :-1].reshape(len(self.languages), len(LENGTHS), BUCKETS) + smoothing) / (sums + smoothing * BUCKETS))
         self.scores = np.append(logs.reshape(len(self.languages), len(LENGTHS) * BUCKETS), np.zeros((len(self.languages), 1)), 1).astype(np.float32)
-        self.prior = np.log(grid[:, -1] / max(grid[:, -1].sum(), 1)) if len(grid) else np.zeros(0)
+        self.prior = np.log(grid[:, -1] / max(total, 1)) if len(grid) else np.zeros(0)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        sums = np.tile(self.prior, (len(texts), 1))
-        lowered = [t.lower() if t else "" for t in texts]
+    def sums(self, lowered: list[str]) -> np.ndarray:
+        """Log-probabilities of each text with each language."""
+        out = np.tile(self.prior, (len(lowered), 1))
         for owner, starts, found in buckets(lowered):
             for l in range(len(self.languages)):
                 row = self.scores[l]
-                np.add.at(sums[:, l], owner, sum(np.add.reduceat(row[h], starts, dtype=np.float64) for h in found))
-        names, scores = [], []
-        for t, s in zip(lowered, sums):
-            if not len(s) or not LETTER.search(t):
-                names.append(UNKNOWN)
-                scores.append(0.0)
-            else:
-                best = int(np.argmax(s))
-                names.append(self.languages[best])
-                scores.append(float(1 / np.exp(s - s[best]).sum()))
-        return names, scores
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    return Model(counts(docs, text, lang).toArrow())
-
-
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+                np.add.at(out[:, l], owner, sum(np.add.reduceat(row[h], starts, dtype=np.float64) for h in found))
+        return out
+
+
+def predict(models: list[Model], texts: list[str | None]) -> tuple[list[str], list[float]]:
+    lowered = [t.lower() if t else "" for t in texts]
+    languages = [x for m in models for x in m.languages]
+    sums = np.concatenate([m.sums(lowered) for m in models], 1) if models else np.zeros((len(texts), 0))
+    names, scores = [], []
+    for t, s in zip(lowered, sums):
+        if not len(s) or not LETTER.search(t):
+            names.append(UNKNOWN)
+            scores.append(0.0)
+        else:
+            best = int(np.argmax(s))
+            names.append(languages[best])
+            scores.append(float(1 / np.exp(s - s[best]).sum()))
+    return names, scores
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", block: int = BLOCK) -> list[Model]:
+    """The model of all languages in blocks, in the order of their names. The driver holds the counts of one block at a time."""
+    counted = written(counts(docs, text, lang))
+    sizes = {r.lang: r.n for r in counted.where("bucket = -1").select("lang", "n").collect()}
+    names, total = sorted(sizes), sum(sizes.values())
+    models = [Model(counted.where(F.col("lang").isin(names[i : i + block])).toArrow(), total) for i in range(0, len(names), block)]
+    remove(docs.sparkSession, counted)
+    return models
+
+
+def identify(docs: DataFrame, models: list[Model], keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep, lang_pred and score (the posterior of lang_pred). Null texts, texts without a letter, and all texts
-    if there was nothing to learn from: `und` with score 0. Ties go to the language that sorts first; equal texts score alike."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, keep, text, "lang_pred string, score double", lambda: lambda texts: shared.value.predict([t.decode() if t is not None else None for t in texts]))
+    if there was nothing to learn from: `und` with score 0. Ties go to the language that sorts first; equal texts score alike,
+    repeated rows stay."""
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in models]
+    return map_texts(docs, keep, text, "lang_pred string, score double", lambda: lambda texts: predict([b.value for b in shared], [t.decode() if t is not None else None for t in texts]))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

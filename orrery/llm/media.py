@@ -18,6 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
@@ -390,7 +391,8 @@ def store(docs: DataFrame, keep: list[str], text: str = "text", media: bool = Fa
     """The columns keep, what FIELDS says, and with media the stored file, with tensor its full-resolution RGB bytes, height and width.
 
     The text's bytes, with zeros up to a positive multiple of 64, are written as a progressive JPEG file and read back from it; all
-    but n_bytes comes from what was read. Null and empty texts are 64 zeros; equal texts have equal values.
+    but n_bytes comes from what was read. Null and empty texts are 64 zeros; equal texts have equal values, repeated rows stay. A
+    kept column with a result's name gets `_source` appended.
     """
 
     def make():
@@ -412,24 +414,32 @@ def store(docs: DataFrame, keep: list[str], text: str = "text", media: bool = Fa
 
 
 def decode_images(rows: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """The columns keep, and tensor (RGB bytes, row by row), height, width of each progressive JPEG file; null for null and for what isn't one."""
+    """The columns keep, and tensor (RGB bytes, row by row), height, width of each progressive JPEG file. They are null for null, and for
+    what isn't one or is cut off: problem then says why."""
 
     def make():
         def work(files):
-            out = []
+            out, problems = [], []
             for f in files:
+                found = problem = None
                 try:
-                    frame = Frame(f)
-                    values, starts = coefficients([frame])
-                    out.append(tensors([frame], values, starts)[0])
-                except (TypeError, ValueError, IndexError, KeyError, AttributeError, StopIteration, struct.error):
-                    out.append(None)
-            return tuple([None if x is None else y(x) for x in out] for y in (lambda x: x.tobytes(), lambda x: x.shape[0], lambda x: x.shape[1]))
+                    if f is not None:
+                        frame = Frame(f)
+                        values, starts = coefficients([frame])
+                        found = tensors([frame], values, starts)[0]
+                except (TypeError, ValueError, IndexError, KeyError, AttributeError, StopIteration, struct.error) as e:
+                    problem = f"{type(e).__name__}: {e}"
+                out.append(found)
+                problems.append(problem)
+            return *([None if x is None else y(x) for x in out] for y in (lambda x: x.tobytes(), lambda x: x.shape[0], lambda x: x.shape[1])), problems
 
         return work
 
-    return map_texts(rows, keep, media, "tensor binary, height int, width int", make)
+    return map_texts(rows, keep, media, "tensor binary, height int, width int, problem string", make)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    """Of the stored files their size and digest, of the tensors their size beside the features."""
+    stored = store(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], media=True, tensor=True)
+    media = [F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.length("tensor").cast("long").alias("tensor_bytes")]
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *media)
