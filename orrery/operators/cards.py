@@ -35,10 +35,10 @@ def channel_stats(samples: DataFrame, t_start: float | None = None, t_end: float
 
 
 def redline_runs(samples: DataFrame, redlines: DataFrame, fs: float, smoothing_s: float = 0.005) -> DataFrame:
-    """Every excursion beyond a redline (channel, kind max or min, limit): decided on the smoothed, reported from the raw signal."""
+    """Every excursion beyond a redline (channel, kind max or min, limit; with run_id those of single runs): decided on the smoothed, reported from the raw signal."""
     win = S.ordered(*KEYS)
     smooth = samples.withColumn("x", F.when(F.col("v").isNotNull(), S.roll_mean("v", win, max(int(smoothing_s * fs), 1))))
-    held = smooth.join(F.broadcast(redlines), "channel")
+    held = smooth.join(F.broadcast(redlines), [c for c in KEYS if c in redlines.columns])
     over = F.when(F.col("kind") == "max", F.col("x") > F.col("limit")).otherwise(F.col("x") < F.col("limit"))
     sign = F.when(F.col("kind") == "max", F.col("v")).otherwise(-F.col("v"))
     found = S.islands(held, over, [*KEYS, "kind", "limit"], F.max_by(F.struct("v", "t"), F.struct(sign, -F.col("seq"))).alias("peak"))
