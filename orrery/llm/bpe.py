@@ -28,8 +28,10 @@ SPLIT = regex.compile(PATTERN)
 #: A space beside another white space character. Without one, what stands after a single space is split apart from the rest.
 RUN = re.compile(r"\s | \s")
 #: Words of more characters are merged each time they occur; the ids of shorter ones are kept, of up to 2 * CACHE in a worker.
-LONG, CACHE = 96, 300_000
+LONG, CACHE = 96, 400_000
 PIECES = 1 << 16
+#: Words that are merged side by side.
+SIDE = 1 << 12
 #: A pair of ids, and a merge's rank and new id, are held in one integer.
 SHIFT, MASK, NEVER = 24, (1 << 24) - 1, 1 << 62
 
@@ -157,6 +159,10 @@ class Codec:
         for rank, pair in enumerate(read["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merge.setdefault(vocabulary[a] << SHIFT | vocabulary[b], (rank + 1) << SHIFT | vocabulary[a + b])
+        self.pairs = np.array(sorted(self.merge), np.int64)
+        self.merges = np.array([self.merge[k] for k in self.pairs.tolist()], np.int64)
+        self.bytes_ids = np.array(self.single, np.int64)
+        self.first = np.array([[self.merge.get(a << SHIFT | b, NEVER) if a >= 0 and b >= 0 else NEVER for b in self.single] for a in self.single], np.int64)
         entries = {}
         for word in chain(raw.values(), (w.encode() for w in frequent)):
             if len(word) <= LONG and word not in entries:
@@ -169,6 +175,9 @@ class Codec:
         self.lexicon = Transducer(entries)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+        self.sizes = np.fromiter(map(len, self.token), np.int64, len(self.token))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.block = np.frombuffer(b"".join(self.token), np.uint8)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
@@ -209,29 +218,107 @@ class Codec:
                     heappush(heap, (m, left, ids[left], ids[right]))
         return [x for x in ids if x >= 0]
 
+    def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge of each pair of ids, NEVER where there is none."""
+        key = a << SHIFT | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merges[at], NEVER)
+
+    def merged_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as merged() finds them: words of like length take their best merges side by side, one a turn."""
+        out: list[bytes] = [b""] * len(words)
+        if not len(self.pairs):
+            return [np.array(self.merged(w), "<u4").tobytes() for w in words]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        for lo in range(0, len(words), SIDE):
+            rows = order[lo : lo + SIDE]
+            size = lengths[rows].copy()
+            wide = max(int(size[-1]), 2)
+            raw = np.frombuffer(b"".join([words[i].ljust(wide, b"\0") for i in rows.tolist()]), np.uint8).reshape(len(rows), wide)
+            ids = self.bytes_ids[raw]
+            best = self.first[raw[:, :-1], raw[:, 1:]]
+            best[np.arange(wide - 1) >= (size - 1)[:, None]] = NEVER
+            live, column, done = np.arange(len(rows)), np.arange(wide), np.zeros_like(ids)
+            while True:
+                p = best.argmin(1)
+                which = np.arange(len(live))
+                merge = best[which, p]
+                going = merge != NEVER
+                if not going.all():
+                    done[live[~going]] = ids[~going]
+                    live, ids, best, p, merge = live[going], ids[going], best[going], p[going], merge[going]
+                    which = which[: len(live)]
+                if not len(live):
+                    break
+                after = column > p[:, None]
+                ids = np.take_along_axis(ids, np.minimum(column + after, wide - 1), 1)
+                ids[which, p] = merge & MASK
+                # The pair itself goes; those on both sides of the new id are looked up.
+                best = np.take_along_axis(best, np.minimum(column[:-1] + (column[:-1] >= p[:, None]), wide - 2), 1)
+                size[live] -= 1
+                best[:, -1] = NEVER
+                for at, has in ((p - 1, p > 0), (p, p < size[live] - 1)):
+                    w = which[has]
+                    best[w, at[has]] = self.lookup(ids[w, at[has]], ids[w, at[has] + 1])
+                w = which[p >= size[live] - 1]
+                best[w, np.minimum(p[w], wide - 2)] = NEVER
+            flat = done[column < size[:, None]].astype("<u4").tobytes()
+            stops = np.cumsum(size) * 4
+            for i, stop, n in zip(rows.tolist(), stops.tolist(), (size * 4).tolist()):
+                out[i] = flat[stop - n : stop]
+        return out
+
+    def ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word by the transducer, those that it doesn't accept merged."""
+        numbers = self.lexicon.numbers(words)
+        blob, offsets = self.lexicon.ids.astype("<u4").tobytes(), self.lexicon.offsets * 4
+        out: list = [None] * len(words)
+        found = np.flatnonzero(numbers >= 0)
+        for i, a, b in zip(found.tolist(), offsets[numbers[found]].tolist(), offsets[numbers[found] + 1].tolist()):
+            out[i] = blob[a:b]
+        rare = np.flatnonzero(numbers < 0).tolist()
+        short = [i for i in rare if len(words[i]) <= LONG]
+        for i, ids in zip(short, self.merged_all([words[i] for i in short])):
+            out[i] = ids
+        for i in rare:
+            if out[i] is None:
+                out[i] = np.array(self.merged(words[i]), "<u4").tobytes()
+        return out
+
     def learn(self, chunks: set[str], lead: str) -> dict[str, bytes]:
-        """Ids of lead + chunk for each chunk: its words by the transducer, those that it doesn't accept merged."""
-        split = {c: [w.encode() for w in SPLIT.findall(lead + c)] for c in chunks}
-        words = list({w for ws in split.values() for w in ws})
-        ids = {}
-        for word, number in zip(words, self.lexicon.numbers(words).tolist()):
-            ids[word] = np.array(self.lexicon.outputs(number) if number >= 0 else self.merged(word), "<u4").tobytes()
-        return {c: b"".join(map(ids.__getitem__, ws)) for c, ws in split.items()}
+        """Ids of lead + chunk for each chunk."""
+        # Letters alone are one word, with the space before them; what else there is is split by the pattern.
+        letters = [c for c in chunks if c.isalpha()]
+        others = [c for c in chunks if not c.isalpha()]
+        split = [SPLIT.findall(lead + c) for c in others]
+        rest = list({w for ws in split for w in ws})
+        ids = self.ids_of_words([(lead + c).encode() for c in letters] + [w.encode() for w in rest])
+        known = dict(zip(letters, ids))
+        of = dict(zip(rest, ids[len(letters) :]))
+        known.update(zip(others, (of[ws[0]] if len(ws) == 1 else b"".join(map(of.__getitem__, ws)) for ws in split)))
+        return known
+
+    def know(self, chunks: set[str], lead: str) -> dict[str, bytes]:
+        """Ids of all chunks, each with lead before it, and of others. Two generations of known chunks are kept."""
+        new, old = self.known.setdefault(lead, ({}, {}))
+        missing = chunks.difference(new)
+        if old and missing:
+            again = missing.intersection(old)
+            new.update(zip(again, map(old.__getitem__, again)))
+            missing -= again
+        large = {c for c in missing if len(c) > LONG}
+        new |= self.learn(missing - large, lead)
+        if len(new) > CACHE:
+            self.known[lead] = ({}, new)
+        return new | self.learn(large, lead) if large else new
 
     def ids_of(self, chunks: list[str], lead: str) -> bytes:
-        """Ids of the chunks, each with lead before it. Two generations of known chunks are kept."""
-        new, old = self.known.setdefault(lead, ({}, {}))
-        if missing := {c for c in chunks if c not in new}:
-            for c in [c for c in missing if c in old]:
-                new[c] = old[c]
-                missing.discard(c)
-            large = {c for c in missing if len(c) > LONG}
-            new |= self.learn(missing - large, lead)
-            if len(new) > CACHE:
-                self.known[lead] = ({}, new)
-            if large:
-                new = new | self.learn(large, lead)
-        return b"".join(map(new.__getitem__, chunks))
+        """Ids of the chunks, each with lead before it."""
+        try:
+            return b"".join(map(self.known[lead][0].__getitem__, chunks))
+        except KeyError:
+            return b"".join(map(self.know(set(chunks), lead).__getitem__, chunks))
 
     def encode(self, text: str) -> bytes:
         """Ids of text as unsigned 32-bit little-endian integers."""
@@ -250,12 +337,39 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """As encode() for each; what is new to the worker is learnt at once."""
-        self.ids_of(list({c for t in texts for c in t.split(" ")[1:]}), " ")
-        self.ids_of(list({t.partition(" ")[0] for t in texts}), "")
-        return [self.encode(t) for t in texts]
+        split, pieces = [t.split(" ") if not RUN.search(t) else None for t in texts], set()
+        later: set[str] = set()
+        for t, chunks in zip(texts, split):
+            if chunks is None:
+                if len(t) < PIECES:
+                    pieces.update(SPLIT.findall(t))
+            else:
+                pieces.add(chunks[0])
+                later.update(chunks)
+        ahead, whole = self.know(later, " "), self.know(pieces, "")
+        out = []
+        for t, chunks in zip(texts, split):
+            if chunks is None or (self.cut and self.cut.search(t)):
+                out.append(self.encode(t))
+            else:
+                first = whole[chunks[0]]
+                del chunks[0]
+                out.append(first + b"".join(map(ahead.__getitem__, chunks)))
+        return out
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, coded: list[bytes]) -> list[str]:
+        """The ids' bytes are taken from the vocabulary for all texts at once; what is no UTF-8 is replaced."""
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        sizes = self.sizes[ids]
+        stops = np.cumsum(sizes)
+        place = np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(self.starts[ids] - (stops - sizes), sizes)
+        flat = self.block[place].tobytes()
+        cuts = np.cumsum([0, *[len(c) // 4 for c in coded]])
+        ends = np.concatenate([[0], stops])[cuts].tolist()
+        return [flat[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
 def frequent_words(docs: DataFrame, text: str = "text", n: int = 16_384) -> list[str]:
@@ -282,7 +396,7 @@ def encode(docs: DataFrame, keep: list[str], path: str, text: str = "text", lexi
 
         def work(texts):
             coded = codec.encode_all([t.decode() if t else "" for t in texts])
-            return coded, [codec.decode(c) for c in coded]
+            return coded, codec.decode_all(coded)
 
         return work
 
