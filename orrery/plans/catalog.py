@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, basic, claims  # noqa: F401  all register their queries in basic
+from . import analysis, basic, claims, scoring  # noqa: F401  all register their queries in basic
 
 QUERIES = {**basic.QUERIES}
 SQL = {**basic.SQL}
