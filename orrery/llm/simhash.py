@@ -23,6 +23,8 @@ from .common import checkpoint, map_texts, table
 BITS = 64
 #: Crowded shards (16 bytes each) whose list is broadcast at most; a longer one is joined.
 MOST_CROWDED = 200_000
+#: Rows of one fingerprint that are joined in one task, and fingerprints of more rows that there can be.
+COPIES, MOST_HOT = 512, 100_000
 
 
 def fingerprint(text: bytes | None, k: int = 4, block: int = 1 << 15) -> int:
@@ -211,13 +213,20 @@ def clusters(docs: DataFrame, keep: list[str], doc_id: str, text: str, k: int, r
     """The columns keep, __fp, __root (the component's smallest fingerprint) and __component (its smallest doc_id)."""
     narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__body"))
     made = checkpoint(fingerprints(narrow, [*keep, "__id"], "__body", k).withColumnRenamed("fp", "__fp"))
-    distinct = checkpoint(made.groupBy("__fp").agg(F.min("__id").alias("low")).withColumnRenamed("__fp", "fp"))
+    distinct = checkpoint(made.groupBy("__fp").agg(F.min("__id").alias("low"), F.count("*").alias("n")).withColumnRenamed("__fp", "fp"))
     roots = components(links(distinct.select("fp"), radius, blocks, shard_limit))
     linked = distinct.join(roots.union(roots.select("root", "root")).distinct(), distinct.fp == F.col("node")).select("fp", "low", "root")
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
     ids = linked.join(lowest, "root").select("fp", "root", "lowest")
-    ids = distinct.join(ids, "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("__root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("__component"))
-    return made.join(ids, "__fp").select(*[F.col(f"`{c}`") for c in keep], "__id", "__fp", "__root", "__component")
+    ids = distinct.select("fp", "low").join(ids, "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("__root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("__component"))
+    # A group of copies is joined to one row. Fingerprints of many copies, of which there are MOST_HOT at most, are dealt out: their rows to
+    # as many tasks as they need, to each of which their one row goes.
+    limit = max(COPIES, made.count() // MOST_HOT)
+    hot = F.broadcast(distinct.where(F.col("n") > limit).select(F.col("fp").alias("__fp"), F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    made = made.join(hot, "__fp", "left").withColumn("__lot", F.pmod(F.hash("__id"), parts))
+    ids = ids.join(hot, "__fp", "left").withColumn("__lot", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return made.join(ids, ["__fp", "__lot"]).select(*[F.col(f"`{c}`") for c in keep], "__id", "__fp", "__root", "__component")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, radius: int = 4, blocks: int = 6, shard_limit: int = 8192) -> DataFrame:
