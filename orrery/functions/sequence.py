@@ -28,6 +28,16 @@ def roll_mean(v: str, win: WindowSpec, w: int, least: int = 1) -> Column:
     return F.when(F.count(v).over(frame) >= least, F.avg(v).over(frame))
 
 
+def wide_mean(df: DataFrame, v: str, name: str, keys: list[str], w: int, least: int = 1) -> DataFrame:
+    """df with name, as roll_mean(): from running sums, which cost each row once however wide the frame is."""
+    win, whole = ordered(*keys), Window.partitionBy(*keys)
+    upto = win.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"__s": F.coalesce(F.sum(v).over(upto), F.lit(0.0)), "__n": F.count(v).over(upto)})
+    edges = [(F.coalesce(F.lead(c, (w - 1) // 2).over(win), F.max_by(c, "seq").over(whole)), F.coalesce(F.lag(c, w // 2 + 1).over(win), F.lit(0))) for c in ("__s", "__n")]
+    (s1, s0), (n1, n0) = edges
+    return df.withColumns({"__d": s1 - s0, "__m": n1 - n0}).withColumn(name, F.when(F.col("__m") >= max(least, 1), F.col("__d") / F.col("__m"))).drop("__s", "__n", "__d", "__m")
+
+
 def roll_median(v: str, win: WindowSpec, w: int) -> Column:
     return F.percentile(v, F.lit(0.5)).over(centred(win, w))
 

@@ -80,12 +80,14 @@ class Ledger:
 
 
 def prepared(spark: SparkSession, tables: dict) -> dict:
-    """tables with channels and phases, found once: they are a row for each channel and each run."""
+    """tables with channels, segments and phases, found once: they are rows for channels and runs. guessed says that no table named the kinds."""
     out = dict(tables)
+    out.setdefault("guessed", "channels" not in tables)
     out["channels"] = registry.about(out)
-    if "phases" not in out:
-        phases = registry.phases_of(out)
-        out["phases"] = spark.createDataFrame(phases.collect(), phases.schema)
+    for name, find in (("segments", registry.segments_of), ("phases", registry.phases_of)):
+        if name not in out:
+            found = find(out)
+            out[name] = spark.createDataFrame(found.collect(), found.schema)
     return out
 
 

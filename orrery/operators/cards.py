@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from ..functions import sequence as S
 
 KEYS = ["run_id", "channel"]
-#: Frames of more rows are sorted outside the window operator.
-WIDE = 16
+#: Frames of more rows are sorted outside the window operator; means over more than LONG rows come from running sums.
+WIDE, LONG = 16, 64
 #: What a unit's values can't go below, by physics.
 PHYSICAL_MINIMUM = {"psi": -14.7, "bar": -1.013, "kPa": -101.3, "MPa": -0.1013, "Pa": -101325.0, "degC": -273.15, "C": -273.15, "K": 0.0, "degF": -459.67}
 
@@ -52,23 +52,39 @@ def check_redlines(samples: DataFrame, redlines: DataFrame, fs: float, persisten
     return runs.where(F.col("n") >= least), runs.where(F.col("n") < least).groupBy(*KEYS).agg(F.count("*").alias("suppressed"))
 
 
-def smoothed(samples: DataFrame, fs: float, median_s: float) -> DataFrame:
-    """xs: filled and averaged over 20 ms; xm: its running median."""
+def mean_over(df: DataFrame, v: str, name: str, w: int, least: int = 1) -> DataFrame:
+    return S.wide_mean(df, v, name, KEYS, w, least) if w > LONG else df.withColumn(name, S.roll_mean(v, S.ordered(*KEYS), w, least))
+
+
+def smoothed(samples: DataFrame, fs: float, median_s: float, ahead: int | None = None) -> DataFrame:
+    """xs: filled and averaged over 20 ms; xm: its running median; with ahead, span: largest less smallest xs of so many rows from each on."""
     win = S.ordered(*KEYS)
-    df = samples.withColumn("f", S.fill_linear("v", win))
-    df = df.withColumn("xs", S.roll_mean("f", win, max(int(0.02 * fs), 1)))
+    df = mean_over(samples.withColumn("f", S.fill_linear("v", win)), "f", "xs", max(int(0.02 * fs), 1))
     w = max(int(median_s * fs), 1)
-    return df.withColumn("xm", S.roll_median("xs", win, w)) if w <= WIDE else wide_median(df, "xs", "xm", w)
+    if w > WIDE:
+        return wide_median(df, "xs", "xm", w, ahead)
+    df = df.withColumn("xm", S.roll_median("xs", win, w))
+    if ahead is None:
+        return df
+    frame = win.rowsBetween(0, ahead - 1)
+    return df.withColumn("span", F.when(F.count("xs").over(frame) == ahead, F.max("xs").over(frame) - F.min("xs").over(frame)))
 
 
-def wide_median(df: DataFrame, v: str, name: str, w: int) -> DataFrame:
-    """A centred running median over many rows: sorting each frame anew costs w a row, so series go to pandas, which updates it."""
+def wide_median(df: DataFrame, v: str, name: str, w: int, ahead: int | None = None) -> DataFrame:
+    """A centred running median over many rows: sorting each frame anew costs w a row, so series go to pandas, which updates it; so
+    do the largest and smallest of the rows ahead."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("seq")
-        return g.assign(**{name: g[v].rolling(w, center=True, min_periods=1).median()})
+        g = g.assign(**{name: g[v].rolling(w, center=True, min_periods=1).median()})
+        if ahead is not None:
+            back = g[v].iloc[::-1].rolling(ahead, min_periods=ahead)
+            g = g.assign(span=(back.max() - back.min()).iloc[::-1])
+        return g
 
-    return df.groupBy(*KEYS).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+    more = [T.StructField(name, T.DoubleType()), *([T.StructField("span", T.DoubleType())] if ahead is not None else [])]
+    out = df.groupBy(*KEYS).applyInPandas(one, T.StructType([*df.schema.fields, *more]))
+    return out if ahead is None else out.withColumn("span", F.nanvl("span", F.lit(None).cast("double")))
 
 
 def whole() -> S.WindowSpec:
@@ -76,9 +92,9 @@ def whole() -> S.WindowSpec:
     return S.Window.partitionBy(*KEYS)
 
 
-def pulses(samples: DataFrame, fs: float) -> DataFrame:
+def pulses(samples: DataFrame, fs: float, ahead: int | None = None) -> DataFrame:
     """Samples with xs and their channel's pulse: base, level, rise, clear."""
-    w, df = whole(), smoothed(samples, fs, 0.2)
+    w, df = whole(), smoothed(samples, fs, 0.2, ahead)
     df = df.withColumn("base", F.percentile("xm", F.lit(0.05)).over(w)).withColumn("top", F.max_by(F.struct("xm", "seq"), F.struct("xm", -F.col("seq"))).over(w))
     half = F.col("base") + 0.5 * (F.col("top.xm") - F.col("base"))
     off = ~F.coalesce(F.col("xm") > half, F.lit(False))
@@ -93,10 +109,9 @@ def pulses(samples: DataFrame, fs: float) -> DataFrame:
 def segment_phases(samples: DataFrame, fs: float) -> DataFrame:
     """For each channel: fired, levels, and the times where the phases begin and end."""
     w, n_set = whole(), max(int(0.2 * fs), 2)
-    p = pulses(samples, fs)
+    p = pulses(samples, fs, n_set)
     on, st = F.col("base") + 0.1 * F.col("rise"), F.col("base") + 0.9 * F.col("rise")
-    ahead = S.ordered(*KEYS).rowsBetween(0, n_set - 1)
-    p = p.withColumn("low", F.col("xs") < on).withColumn("still", (F.count("xs").over(ahead) == n_set) & (F.max("xs").over(ahead) - F.min("xs").over(ahead) < 0.02 * F.col("rise")))
+    p = p.withColumn("low", F.col("xs") < on).withColumn("still", F.coalesce(F.col("span") < 0.02 * F.col("rise"), F.lit(False)))
     steady = F.when(F.col("xs") > st, F.col("seq"))
     p = p.withColumn("i0", F.min(steady).over(w)).withColumn("i1", F.max(steady).over(w))
     row = lambda cond, pick, more=0: pick(F.when(cond, F.col("seq") + more))
@@ -117,15 +132,15 @@ def segment_phases(samples: DataFrame, fs: float) -> DataFrame:
     )
 
 
-def run_phases(samples: DataFrame, kinds: DataFrame, fs: float) -> DataFrame:
+def run_phases(samples: DataFrame, kinds: DataFrame, fs: float, segments: DataFrame | None = None) -> DataFrame:
     """One row for each run: the phases of its firing in seconds, seen on its primary pressure (Pc, else the pressure that reaches highest),
     or where that has no clear pulse, on the first force, then pressure, that has one (fallback_from says instead of which).
 
-    kinds: channel, kind. Runs without any pressure or force channel have no row.
+    kinds: channel, kind. segments: segment_phases() of these channels, if it is known. Runs without any pressure or force channel have no row.
     """
     wanted = F.broadcast(kinds.where(F.col("kind").isin("pressure", "force")).select("channel", "kind").distinct())
     own = samples.join(wanted, "channel")
-    seg = segment_phases(own.select(samples.columns), fs)
+    seg = segments if segments is not None else segment_phases(own.select(samples.columns), fs)
     about = own.groupBy(*KEYS).agg(F.first("kind").alias("kind"), F.max("v").alias("top"), F.max("t").alias("record_end_s"), F.max_by("v", "seq").alias("value_at_record_end"))
     both = seg.join(about, KEYS)
     primary = F.min(F.when(F.col("kind") == "pressure", F.struct((F.col("channel") != "Pc").alias("other"), (-F.col("top")).alias("low"), "channel"))).over(S.Window.partitionBy("run_id"))
@@ -198,13 +213,12 @@ def pulse_metrics(samples: DataFrame, fs: float, start_pct: float = 10, end_pct:
 
 def deviations(samples: DataFrame, reference: DataFrame, fs: float) -> DataFrame:
     """Samples with the interpolated reference r, dev, dev_pct (of the reference's mean size) and roll (its 0.2 s mean)."""
-    win = S.ordered(*KEYS)
     df = S.interpolated(samples, reference, KEYS).withColumn("dev", F.col("v") - F.col("r"))
     scale = F.avg(F.when(F.col("dev").isNotNull(), F.abs("r"))).over(whole())
     df = df.withColumn("scale", F.when(scale == 0, 1.0).otherwise(scale))
     df = df.withColumn("dev_pct", 100 * F.col("dev") / F.col("scale"))
     w = max(int(0.2 * fs), 1)
-    return df.withColumn("roll", S.roll_mean("dev_pct", win, w, max(w // 2, 1)))
+    return mean_over(df, "dev_pct", "roll", w, max(w // 2, 1))
 
 
 def compare_reference(samples: DataFrame, reference: DataFrame, fs: float, tolerance_pct: float = 2.0, least_s: float = 0.5) -> tuple[DataFrame, DataFrame]:

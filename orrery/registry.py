@@ -79,7 +79,15 @@ def about(tables: dict) -> DataFrame:
 
 def phases_of(tables: dict) -> DataFrame:
     """run_phases() of the runs; tables may bring them as phases, so that they are found once."""
-    return tables["phases"] if "phases" in tables else cards.run_phases(tables["samples"], about(tables), tables["fs"])
+    return tables["phases"] if "phases" in tables else cards.run_phases(tables["samples"], about(tables), tables["fs"], tables.get("segments"))
+
+
+def segments_of(tables: dict) -> DataFrame:
+    """segment_phases() of all pressures and forces; tables may bring it as segments."""
+    if "segments" in tables:
+        return tables["segments"]
+    wanted = about(tables).where(F.col("kind").isin("pressure", "force")).select("channel").distinct()
+    return cards.segment_phases(tables["samples"].join(F.broadcast(wanted), "channel", "left_semi").select("run_id", "channel", "seq", "t", "v"), tables["fs"])
 
 
 def window_of(tables: dict, samples: DataFrame, phase: str | None, t_start: float | None, t_end: float | None, default: str | None) -> DataFrame:
@@ -157,7 +165,8 @@ def check_sensor_health(tables):
     spikes = hold(tables, spikes)
     flat = union([cards.flatlines(m, fs, r, firing=firing) for m, r in by_rate]) if by_rate else cards.flatlines(moving, fs, firing=firing)
     families = checked.select("channel", F.split("kind", "_")[0].alias("family"))
-    pulses = cards.segment_phases(moving.join(F.broadcast(checked.where(F.col("kind").isin("pressure", "force") | F.lit("channels" not in tables)).select("channel")), "channel", "left_semi").select(moving.columns), fs)
+    # Without channels what a sensor measures is a guess by its name, and every one may have a pulse.
+    pulses = segments_of(tables) if "channels" in tables and not tables.get("guessed") else cards.segment_phases(moving, fs)
     found = {"gaps": cards.gap_issues(s).withColumnsRenamed({"total": "total_samples", "longest": "longest_samples"}), "dead": dead, "duplicates": cards.duplicate_channels(s), "flatlines": flat, "coincident_spikes": cards.coincident(spikes, families)}
     alone = spikes.join(cards.coincident_hits(spikes, families), [*cards.KEYS, "t"], "left_anti").select(*spikes.columns)
     return found | {"impossible": cards.impossible_values(moving, checked.select("channel", "unit"), fs), "spikes": alone, "no_return": cards.no_return_to_baseline(moving, pulses, fs)}
