@@ -245,19 +245,21 @@ def links(members: DataFrame, sets: DataFrame, limit: int = SHARD_LIMIT) -> Data
         if open_.isEmpty():
             break
         shard = F.xxhash64("group", F.lit(lot), F.pmod(F.hash("digest", F.lit(lot)), F.col("parts")))
-        more = decided(now.join(open_, "group").select("digest", "root", shard.alias("shard")), sets)
+        more = decided(spread(now, open_, "group", "digest", "inner").select("digest", "root", shard.alias("shard")), sets)
         edges = edges.union(more) if edges is not None else more
         if open_.where("parts > 1").isEmpty():
             break
         now = rooted(members, edges)
     else:
         # What isn't connected by now: the largest connected part of a group (main) against all others, and these against each other.
-        open_ = unfinished(now, limit).where("parts > 1").select("group")
-        by_root = now.join(open_, "group").groupBy("group", "root").agg(F.sum("n").alias("total"))
+        open_ = written(unfinished(now, limit).where("parts > 1").select("group"))
+        if open_.isEmpty():
+            return edges
+        by_root = spread(now, open_, "group", "digest", "inner").groupBy("group", "root").agg(F.sum("n").alias("total"))
         best = by_root.groupBy("group").agg(F.max_by("root", F.struct("total", "root")).alias("main"), F.max("total").alias("most"), F.sum("total").alias("all"))
         count = lambda c: F.greatest(F.lit(1), F.ceil(c / limit)).cast("int")
         best = best.select("group", "main", count(F.col("most")).alias("p"), count(F.col("all") - F.col("most")).alias("q"))
-        rows = now.join(best, "group").withColumn("other", F.col("root") != F.col("main"))
+        rows = spread(now, best, "group", "digest", "inner").withColumn("other", F.col("root") != F.col("main"))
         own = F.when(F.col("other"), F.col("p") + F.pmod(F.hash("digest"), F.col("q"))).otherwise(F.pmod(F.hash("digest"), F.col("p")))
         first = F.when(F.col("other"), F.lit(0)).otherwise(F.col("p"))
         meets = F.filter(F.sequence(first, F.col("p") + F.col("q") - 1), lambda x: x != F.col("own"))
@@ -268,8 +270,9 @@ def links(members: DataFrame, sets: DataFrame, limit: int = SHARD_LIMIT) -> Data
 
 
 def spread(big: DataFrame, small: DataFrame, key: str, by: str, how: str = "left", salts: int = 16) -> DataFrame:
-    """big joined with small by key; rows of big that share a key go to salts tasks, by another column, as small is repeated for each."""
-    lots = small.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """big joined with small by key; rows of big that share a key go to salts tasks, by another column, as small is repeated for each.
+    Its repeated rows are more than Spark expects, so they aren't broadcast."""
+    lots = small.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return big.withColumn("__lot", F.pmod(F.hash(by), F.lit(salts))).join(lots, [key, "__lot"], how).drop("__lot")
 
 

@@ -25,6 +25,8 @@ BITS = 64
 MOST_CROWDED = 200_000
 #: Rows of one fingerprint that are joined in one task, and fingerprints of more rows that there can be.
 COPIES, MOST_HOT = 512, 100_000
+#: Links (16 bytes each) that one task connects at once; more are dealt out to parts.
+PART = 1 << 20
 
 
 def fingerprint(text: bytes | None, k: int = 4, block: int = 1 << 15) -> int:
@@ -183,11 +185,29 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 6, shard_limit: in
     return shard_links(dealt.repartition(n, "shard").sortWithinPartitions("shard"), radius).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node it is connected to.
-
-    Large-star and small-star steps in turn, until no link changes; each round is written to the checkpoint folder. Links never
-    lead to larger roots, so the rounds end, however long a chain is.
+def lowest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every node of the links (u, v) that isn't the smallest it is connected to: the node, and that smallest one."""
+    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    ends, label = flat.reshape(2, -1), np.arange(len(nodes))
+    while True:
+        tops = label[ends]
+        open_ = tops[0] != tops[1]
+        if not open_.any():
+            break
+        ends, tops = ends[:, open_], tops[:, open_]
+        np.minimum.at(label, tops.max(0), tops.min(0))  # a top is its own label, so this hangs it below a smaller one
+        while ((up := label[label]) != label).any():
+            label = up
+    below = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[below], nodes[label[below]]
+
+
+def components(edges: DataFrame, part: int = PART) -> DataFrame:
+    """(node, root) for every node of edges (a, b) but the roots: root is the smallest node it is connected to.
+
+    Parts of about part links are each connected by one task. Where there are several parts, large-star and small-star steps follow, and
+    parts again, until no link changes; each round is written to the checkpoint folder. Links never lead to larger roots, so the
+    rounds end, however long a chain is. One part is one round: each further one would cost the driver several stages.
     """
 
     def total(df: DataFrame) -> tuple:
@@ -197,10 +217,17 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         return both.join(low, "u").where(keep)
 
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = checkpoint(e), None
+    def connect(batches):
+        held = [np.stack([batch.column(i).to_numpy() for i in (0, 1)]) for batch in batches]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in lowest(*np.concatenate(held, 1))], ["u", "v"])
+
+    e, before = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), None
     while (now := total(e)) != before and now[0]:
-        before = now
+        before, parts = now, -(-now[0] // part)
+        e = checkpoint(e.repartition(parts).mapInArrow(connect, "u long, v long"))
+        if parts == 1:
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -28,6 +28,12 @@ BLOCK = 1 << 16
 STEP, LIMIT = 0.02, 30
 
 
+def hashes(text: bytes | None) -> np.ndarray:
+    """The hash of each word."""
+    found = words(text)
+    return np.fromiter(map(zlib.crc32, found), np.uint32, len(found))
+
+
 class Model:
     """Scores texts; fit() trains it. Before that, or without both labels, every score is 0."""
 
@@ -37,14 +43,13 @@ class Model:
         self.languages: list[str] = []
         self.fitted = False
 
-    def ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of all words, PAD zeros after each text; where texts start and how many words they have."""
-        tokens = [words(t) for t in texts]
-        n = np.array([len(t) for t in tokens], np.int64)
+    def ids(self, hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the words of all texts, PAD zeros after each; where texts start and how many words they have."""
+        n = np.array([len(t) for t in hashed], np.int64)
         starts = np.cumsum(n + PAD) - n - PAD
         flat = np.zeros(int((n + PAD).sum()) + PAD, np.int64)
-        for t, s in zip(tokens, starts.tolist()):
-            flat[s : s + len(t)] = self.rows(np.fromiter(map(zlib.crc32, t), np.uint32, len(t)))
+        for t, s in zip(hashed, starts.tolist()):
+            flat[s : s + len(t)] = self.rows(t)
         return flat, starts, n
 
     def rows(self, hashes: np.ndarray) -> np.ndarray:
@@ -80,7 +85,7 @@ class Model:
         return np.argmax(np.stack(sums, 1), 1)
 
     def logits(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        flat, starts, n = self.ids(texts)
+        flat, starts, n = self.ids([hashes(t) for t in texts])
         return self.features(flat, starts, n) @ self.out + self.bias, self.language(flat, starts, n)
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
@@ -91,10 +96,14 @@ class Model:
 
     def fit(self, texts: list[bytes], toxic: list[int], langs: list[str | None], epochs: int = 4, least_rows: int = 12_000, batch: int = 32, rate: float = 0.05) -> Model:
         """A small sample is passed over more often, until least_rows rows have been seen. Thresholds stay at 0 until calibrate()."""
+        return self.fit_hashed([hashes(t) for t in texts], toxic, langs, epochs, least_rows, batch, rate)
+
+    def fit_hashed(self, hashed: list[np.ndarray], toxic: list[int], langs: list[str | None], epochs: int = 4, least_rows: int = 12_000, batch: int = 32, rate: float = 0.05) -> Model:
+        """As fit(), of the texts' hashes()."""
         y = np.array(toxic)
         if not 0 < y.sum() < len(y):
             return self
-        found, times = np.unique(np.concatenate([np.unique(np.fromiter(map(zlib.crc32, words(t)), np.uint32)) for t in texts]), return_counts=True)
+        found, times = np.unique(np.concatenate([np.unique(t) for t in hashed]), return_counts=True)
         self.hashes = found[times >= LEAST]
         size = 1 + len(self.hashes)
         self.embedding = (self.random.standard_normal((size, DIM)) * 0.1).astype(np.float32)
@@ -102,7 +111,7 @@ class Model:
         self.filters = [(self.random.standard_normal((w, DIM, FILTERS)) * 0.2).astype(np.float32) for w in WIDTHS]
         self.out, self.bias = np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), np.float32(-1)
 
-        tokens = [(flat.astype(np.int32), starts, n) for flat, starts, n in (self.ids([t]) for t in texts)]
+        tokens = [(flat.astype(np.int32), starts, n) for flat, starts, n in (self.ids([t]) for t in hashed)]
         self.languages = sorted({x for x in langs if x is not None}) or [""]
         logs, seen = np.full((len(self.languages), size), 0.5), np.zeros((2, size))
         for (flat, _, (n,)), x, label in zip(tokens, langs, toxic):
@@ -211,11 +220,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = F.col("lot") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     # One row for each id and text, so that repeated rows can't fill the sample.
     got = rows.join(F.broadcast(known.where(chosen)), "__id").groupBy("__id", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"), F.min("lang").alias("lang"))
-    got = got.select("__id", "key", "text", "toxic", "lang").toArrow().sort_by([("__id", "ascending"), ("key", "ascending")])
-    texts, toxic, langs = (got.column(c).to_pylist() for c in ("text", "toxic", "lang"))
-    del got
-    model = Model().fit(texts, toxic, langs)
-    del texts
+    # Words are hashed where the texts are: the driver gets 4 bytes for each.
+    got = map_texts(got, ["__id", "key", "toxic", "lang"], "text", "hashed binary", lambda: lambda texts: ([hashes(t).tobytes() for t in texts],))
+    got = got.toArrow().sort_by([("__id", "ascending"), ("key", "ascending")])
+    hashed = [np.frombuffer(x.as_buffer(), np.uint32) for x in got.column("hashed")]
+    model = Model().fit_hashed(hashed, got.column("toxic").to_pylist(), got.column("lang").to_pylist())
+    del got, hashed
+    pa.default_memory_pool().release_unused()
     if model.fitted:
         judged = judge(rows, model).join(known.where(~chosen), "__id")
         weight = F.when(F.col("toxic") == 1, 1 / (1 - share[1])).otherwise(1 / (1 - share[0]))

@@ -1,6 +1,7 @@
 """Every operator and every pipeline stage with clashing names, no rows, nulls, very long texts, ties and repeated rows."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from orrery.llm import alike, bpe, chat, decontaminate, langid, licenses, media, quality, secrets, simhash, toxicity
 from pyspark.sql import functions as F
@@ -105,3 +106,31 @@ def test_long_chains_of_links(spark):
     edges = spark.range(5000).selectExpr("id AS a", "id + 1 AS b")
     found = simhash.components(edges).collect()
     assert {r.root for r in found} == {0} and {r.node for r in found} == set(range(1, 5001))
+
+
+def test_few_links_are_connected_in_few_stages(spark):
+    """The driver holds what it knows of every stage, task and plan: links that fit one part take one round, whatever they connect."""
+    sc = spark.sparkContext
+    edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    sc.setJobGroup("few links", "")
+    try:
+        found = simhash.components(edges).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(1, 301)}
+    assert len(sc.statusTracker().getJobIdsForGroup("few links")) <= 8
+
+
+@pytest.mark.parametrize("part", [7, 100, 1 << 20])
+def test_parts_of_links(spark, part):
+    """Random links, negative nodes, repeated and reversed links and links to oneself, in one part and in many."""
+    random = np.random.default_rng(part)
+    a, b = random.integers(-150, 150, (2, 200)).tolist()
+    links = [*zip(a, b), *zip(b[:20], a[:20]), *zip(a[:20], b[:20]), *((x, x) for x in a[:5])]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for x, y in links:
+            root[x] = root[y] = min(root[x], root[y])
+    found = simhash.components(spark.createDataFrame(links, "a long, b long"), part).collect()
+    assert sorted((r.node, r.root) for r in found) == sorted((x, y) for x, y in root.items() if x != y)
+    assert simhash.components(spark.createDataFrame([(1, 1)], "a long, b long"), part).collect() == []

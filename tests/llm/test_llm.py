@@ -675,3 +675,13 @@ def test_quality_thresholds(spark):
 def test_frequent_words_are_bounded(spark):
     docs = spark.createDataFrame([("a a a b b c",), ("x b a",), (None,)], "text string")
     assert bpe.frequent_words(docs, n=1) == [] and bpe.frequent_words(docs, n=2) == [" a", " b"] and bpe.frequent_words(docs.limit(0)) == []
+
+
+def test_toxicity_is_fitted_on_hashes_of_words():
+    """Training needs no texts: words may be hashed where the texts are."""
+    texts = [b"fine words here", b"", b"bad bad words", b"some fine text", b"a bad text"] * 12
+    toxic, langs = [0, 0, 1, 0, 1] * 12, ["en", None, "de", "en", "de"] * 12
+    plain = toxicity.Model().fit(texts, toxic, langs, epochs=1, least_rows=1)
+    hashed = toxicity.Model().fit_hashed([toxicity.hashes(t) for t in texts], toxic, langs, epochs=1, least_rows=1)
+    assert (plain.score([*texts, None]) == hashed.score([*texts, None])).all()
+    assert toxicity.hashes(None).tolist() == []
