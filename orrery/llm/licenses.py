@@ -42,10 +42,19 @@ TEMPLATES = {
 K, SHIFT, SHARE, LEAST = 3, 2, 0.7, 6
 
 
+#: A run of what is neither ASCII punctuation, space nor control: `[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+`, A-Z being letters
+#: like a-z. Its characters are named one by one, as Java looks those up in a table and tests ranges one after the other.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+
+
 def words(text: str) -> Column:
-    """Words of the text with A-Z lower-cased; null has none."""
-    lower = F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    """Words of the text as they stand, in capitals or not; null has none."""
+    return F.regexp_extract_all(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def lowered(word: Column) -> Column:
+    """The word with A-Z, and nothing else, lower-cased; lower() does just that where all is ASCII."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def template_grams(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
@@ -77,12 +86,15 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", phrases: dict[str
     key = F.md5(F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")))
     grams = template_grams(spark, phrases, templates).withColumn("h", F.xxhash64("first", "second"))
     tokens = words(text)
-    at = lambda i: F.slice("w", i + 1, F.size("w"))
-    pairs = docs.select(key.alias("__key"), tokens.alias("w")).where(F.size("w") > 1)
-    pairs = pairs.select("__key", F.posexplode(F.arrays_zip(F.col("w").alias("a"), at(1).alias("b"), at(2).alias("c"))).alias("pos", "p")).select("__key", "pos", "p.a", "p.b", "p.c")
+    # Words are found once in each text (a filter on their number would find them again, below the projection), and beside each
+    # word stand its text's words. Most places are left out before the join, where no template has the first or second word.
+    places = docs.select(key.alias("__key"), tokens.alias("w")).select("__key", "w", F.posexplode_outer("w").alias("pos", "word"))
+    after = lambda i: lowered(F.get("w", F.col("pos") + i))
+    firsts, seconds = (sorted({t.split(" ")[i + j] for t in [*phrases, *templates] for j in range(max(1, len(t.split(" ")) + 1 - K))}) for i in (0, 1))
+    pairs = places.where(lowered(F.col("word")).isin(firsts)).where(after(1).isin(seconds)).select("__key", "pos", lowered(F.col("word")).alias("a"), after(1).alias("b"), after(2).alias("c"))
     # A gram is found by the hash of its first two words and decided by all of them; a template of two words has no third.
     same = (F.xxhash64("a", "b") == F.col("h")) & (F.col("a") == F.col("first")) & (F.col("b") == F.col("second")) & ((F.col("third") == "") | (F.col("c") == F.col("third")))
-    votes = pairs.where("b IS NOT NULL").join(F.broadcast(grams), same).select("__key", "template", "label", "base", "grams", "k", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
+    votes = pairs.join(F.broadcast(grams), same).select("__key", "template", "label", "base", "grams", "k", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
     of = ["__key", "template", "label", "base", "grams", "k"]
     diagonals = votes.groupBy(*of, "diagonal").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     # Of a diagonal, runs of places: what lies far apart on it is no span.

@@ -469,6 +469,24 @@ def test_license_templates_may_be_changed(spark):
     assert r.labels == ["bsd"] and r.n_base == 0 and 0.7 <= r.score < 1
 
 
+def test_license_words_are_found_once_a_branch(spark, tmp_path):
+    """Once for n_words and once for the votes, never again in a filter, and no whole text goes through translate()."""
+    path = str(tmp_path / "documents.parquet")
+    documents(spark).select("doc_id", "text").write.parquet(path)
+    plan = licenses.scan(spark.read.parquet(path), ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and "translate(coalesce(" not in plan
+
+
+def test_license_words_have_only_a_to_z_lowered(spark):
+    """The Kelvin sign, the dotted I and letters with accents stay as they are; every character is a word's or not as the contract says."""
+    every = " ".join(map(chr, [*range(1, 0x250), 0x212A, 0x4E00, 0xFFFD, 0x1F600]))
+    rows = ["KIT mit", "\u212Ait MIT", "kit mIt", "k\u0130t mit kit MIT", "STRAßE caf\u00e9", "stra\u00dfe CAF\u00c9", "STRASSE caf\u00e9", "kit", "kit\x7fmit", every, "x" + every.replace(" ", "") + "x"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), ["doc_id"], phrases={"kit mit": "k", "straße café": "s"}, templates={"all kit mit": "t"})
+    got = {r.doc_id: (r.n_words, r.base_labels) for r in got.collect()}
+    bases = {0: ["k"], 2: ["k"], 3: ["k"], 4: ["s"], 8: ["k"]}
+    assert got == {i: (len(WORD.findall(x.translate(LOWER))), bases.get(i, [])) for i, x in enumerate(rows)}
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "hi </s> there"), (1, 0, "user", "[INST] a\\[/INST]"), (2, 0, None, None), (2, 0, None, None), (None, 0, "user", "x"), (3, 0, "a\\", "\\"), (3, 1, "assistant", "\\\\<s>\n [INST] b"), (4, None, "assistant", ""), (4, 2, "assistant", "é" * 5000), (5, 0, " [INST] ", " [/INST] </s>")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", chat.F.lit(1))
